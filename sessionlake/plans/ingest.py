@@ -105,7 +105,9 @@ def ingest_directory(
 def ingest_file(spark: SparkSession, path: str, base: str) -> DataFrame:
     """Ingest one explicitly named file."""
     listed = spark.read.format("binaryFile").load(path)
-    files = listed.select(discovery.readable_path(F.col("path")).alias("file_path"))
+    files = listed.select(
+        discovery.readable_path(F.col("_metadata.file_path")).alias("file_path")
+    )
     return _store(spark, jsonl.read_file(spark, path), files, base, "fail")
 
 

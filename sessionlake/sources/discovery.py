@@ -13,10 +13,13 @@ class NoSessionsFound(RuntimeError):
     """No session file lies below the root."""
 
 
+def _decoded(uri: Column) -> Column:
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def readable_path(uri: Column) -> Column:
     """Decoded path; local files lose their scheme."""
-    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, r"\Afile:/+", "/")
+    return F.regexp_replace(_decoded(uri), r"\Afile:/+", "/")
 
 
 def _parts(path: Column) -> Column:
@@ -34,21 +37,43 @@ def session_glob(root: str) -> str:
 
 def discovery_order(path: str = "file_path") -> Column:
     """Sort key: year, month, day and file name, compared one by one."""
-    return F.slice(_parts(F.col(path)), -4, 4)
+    parts = _parts(F.col(path))
+    return F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), F.lit(4))
+
 
+def session_files(
+    spark: SparkSession, root: str, with_empty: bool = True
+) -> DataFrame:
+    """One row per file (file_path, pattern, length). Contents are not read.
 
-def session_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file (file_path, length). Contents are not read."""
+    Spark's scans pass over files of length zero. They have a session all the same,
+    so they are added from the listing, which the driver holds for any scan.
+    """
     try:
         listing = spark.read.format("binaryFile").load(session_glob(root))
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
         raise NoSessionsFound(f"No session files found under {root}") from problem
-    path = readable_path(F.col("path"))
-    return listing.where(at_session_depth(path, root)).select(
-        path.alias("file_path"), F.col("path").alias("uri"), "length"
-    )
+    filled = listing.select(_canonical(F.col("_metadata.file_path")).alias("uri"), "length")
+    if with_empty:
+        listed = spark.createDataFrame(
+            [(uri,) for uri in listing.inputFiles()], "listed string"
+        ).select(_canonical(F.col("listed")).alias("uri"))
+        empty = listed.join(filled, "uri", "left_anti")
+        filled = filled.unionByName(
+            empty.select("uri", F.lit(0).cast("bigint").alias("length"))
+        )
+    # A path handed back to a reader is a pattern: its special characters are escaped.
+    pattern = F.regexp_replace(_decoded(F.col("uri")), r"([\\{}\[\]*?])", r"\\$1")
+    return filled.select(
+        readable_path(F.col("uri")).alias("file_path"), pattern.alias("pattern"), "length"
+    ).where(at_session_depth(F.col("file_path"), root))
+
+
+def _canonical(uri: Column) -> Column:
+    """One spelling of local paths: 'file:/a' and 'file:///a' are the same."""
+    return F.regexp_replace(uri, r"\Afile:/+", "file:/")
 
 
 def first_files(files: DataFrame, limit: int) -> DataFrame:

@@ -41,14 +41,14 @@ def read_lines(
         raise ValueError("limit must not be negative")
     wanted = discovery.first_files(discovery.session_files(spark, root), limit)
     if limit > discovery.MAX_LISTED_FILES:
-        return _of_files(read_lines(spark, root), wanted)
-    uris = [row.uri for row in wanted.select("uri").collect()]
-    if not uris:
+        return of_files(read_lines(spark, root), wanted)
+    patterns = [row.pattern for row in wanted.select("pattern").collect()]
+    if not patterns:
         raise discovery.NoSessionsFound(f"No session files found under {root}")
-    return _positions(spark.read.text(uris))
+    return _positions(spark.read.text(patterns))
 
 
-def _of_files(lines: DataFrame, files: DataFrame, salts: int = 64) -> DataFrame:
+def of_files(lines: DataFrame, files: DataFrame, salts: int = 64) -> DataFrame:
     """Lines of the listed files; a huge file is spread over ``salts`` keys."""
     salted = files.select(
         "file_path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
