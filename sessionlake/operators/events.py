@@ -18,18 +18,6 @@ BAD_PAYLOAD = "Event 'payload' must be a JSON object."
 NOT_UTF8 = "not valid UTF-8"
 
 
-def validation_error(event: Column) -> Column:
-    """Message of the first failing check, null for a good event."""
-    stamp_ok = jsonv.is_null(event, "$.timestamp") | jsonv.is_string(event, "$.timestamp")
-    payload_ok = jsonv.is_null(event, "$.payload") | jsonv.is_object(event, "$.payload")
-    return (
-        F.when(~jsonv.is_object(event), NOT_AN_OBJECT)
-        .when(jsonv.filled_string(event, "$.type").isNull(), BAD_TYPE)
-        .when(~stamp_ok, BAD_TIMESTAMP)
-        .when(~payload_ok, BAD_PAYLOAD)
-    )
-
-
 def _containers(event: Column, *paths: str) -> Column:
     found = F.lit(False)
     for path in paths:
@@ -133,7 +121,7 @@ def parse_lines(lines: DataFrame, clean: bool = True) -> DataFrame:
     """Check, scrub and classify each line.
 
     ``clean=False`` keeps the events as they are, for the report and the strict
-    model. Adds: blank, json_error, raw_json, payload_at, payload_len, event_type,
+    model, and looks for no faults. Adds: blank, json_error, raw_json, payload_at, payload_len, event_type,
     payload_type, timestamp, event_error, fault, is_anchor.
     """
     readable = F.is_valid_utf8("line")
@@ -158,10 +146,10 @@ def parse_lines(lines: DataFrame, clean: bool = True) -> DataFrame:
         F.col("_json.payload_at").alias("payload_at"),
         F.col("_json.payload_len").alias("payload_len"),
     )
-    return classify(opened)
+    return classify(opened, with_faults=clean)
 
 
-def trusted_lines(lines: DataFrame) -> DataFrame:
+def trusted_lines(lines: DataFrame, with_faults: bool = False) -> DataFrame:
     """Same columns for lines known to be clean JSON, such as stored ``raw_json``.
 
     Runs on the JVM alone: nothing has to be checked or scrubbed again.
@@ -176,24 +164,50 @@ def trusted_lines(lines: DataFrame) -> DataFrame:
             F.col("line").alias("raw_json"),
             F.lit(None).cast("int").alias("payload_at"),
             F.lit(None).cast("int").alias("payload_len"),
-        )
+        ),
+        with_faults,
     )
 
 
-def classify(opened: DataFrame) -> DataFrame:
-    """Header fields, first validation error and storage fault of each event."""
-    event = F.col("_event")
+def classify(opened: DataFrame, with_faults: bool = False) -> DataFrame:
+    """Header fields and first validation error of each event.
+
+    Step by step, so that each value is looked up once. ``fault`` is worked out
+    only where files may fail as a whole.
+    """
+    event, head = F.col("_event"), F.col("_head")
     kept = [F.col(c) for c in opened.columns]
-    valued = opened.withColumn("_event", jsonv.parse(F.col("raw_json")))
-    headed = valued.select(
+    valued = opened.withColumn("_event", jsonv.parse(F.col("raw_json"))).withColumn(
+        "_head",
+        F.try_variant_get(
+            event, "$", "struct<type:variant,timestamp:variant,payload:variant>"
+        ),
+    )
+    kind, stamp, payload = (head[n] for n in ("type", "timestamp", "payload"))
+    looked_up = valued.select(
         *kept,
         event,
-        jsonv.string(event, "$.type").alias("event_type"),
-        jsonv.string(event, "$.payload.type").alias("payload_type"),
-        jsonv.string(event, "$.timestamp").alias("timestamp"),
-        F.when(F.col("raw_json").isNotNull(), validation_error(event)).alias(
-            "event_error"
-        ),
+        head.isNotNull().alias("_is_object"),
+        jsonv.string(kind, "$").alias("event_type"),
+        jsonv.string(stamp, "$").alias("timestamp"),
+        (stamp.isNull() | F.is_variant_null(stamp)).alias("_no_stamp"),
+        (payload.isNull() | F.is_variant_null(payload)).alias("_no_payload"),
+        F.try_variant_get(payload, "$", "struct<type:variant>").alias("_payload"),
+    )
+    error = (
+        F.when(F.col("raw_json").isNull(), None)
+        .when(~F.col("_is_object"), NOT_AN_OBJECT)
+        .when(F.col("event_type").isNull() | is_blank(F.col("event_type")), BAD_TYPE)
+        .when(F.col("timestamp").isNull() & ~F.col("_no_stamp"), BAD_TIMESTAMP)
+        .when(F.col("_payload").isNull() & ~F.col("_no_payload"), BAD_PAYLOAD)
+    )
+    judged = looked_up.select(
+        *kept,
+        event,
+        "event_type",
+        jsonv.string(F.col("_payload.type"), "$").alias("payload_type"),
+        "timestamp",
+        error.alias("event_error"),
     )
     good = F.col("event_error").isNull() & F.col("raw_json").isNotNull()
     anchor = (
@@ -201,15 +215,18 @@ def classify(opened: DataFrame) -> DataFrame:
         & (F.col("event_type") == "event_msg")
         & (F.col("payload_type") == "user_message")
     )
-    return headed.select(
+    fault = F.lit(None).cast("string")
+    if with_faults:
+        fault = F.when(
+            good, storage_fault(event, F.col("event_type"), F.col("payload_type"))
+        )
+    return judged.select(
         *kept,
         "event_type",
         "payload_type",
         "timestamp",
         "event_error",
-        F.when(
-            good, storage_fault(event, F.col("event_type"), F.col("payload_type"))
-        ).alias("fault"),
+        fault.alias("fault"),
         F.coalesce(anchor, F.lit(False)).alias("is_anchor"),
     )
 

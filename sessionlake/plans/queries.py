@@ -44,6 +44,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return adapters.table(spark, sf_dir, name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.spread(_table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as a grouped log."""
     lines = adapters.conversation_log(_table(spark, sf_dir, "conversations"))
@@ -56,6 +60,11 @@ def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.number_and_group(events.trusted_lines(lines))
 
 
+def _once(grouped: DataFrame) -> DataFrame:
+    """Numbered log written once, for queries that read it from several sides."""
+    return stage(grouped, "grouped")
+
+
 def _files(grouped_source: DataFrame, path: Column) -> DataFrame:
     return grouped_source.select(path.alias("file_path")).distinct()
 
@@ -104,7 +113,7 @@ def limited_session_files(spark, sf_dir):
 
 def _document_lines(spark, sf_dir) -> DataFrame:
     """Document lines as JSONL; one in thirteen has text after its JSON."""
-    rows = _table(spark, sf_dir, "documents").select(
+    rows = _documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "body")
     )
     body = F.to_json(
@@ -200,7 +209,7 @@ def atomic_files(spark, sf_dir):
     )
     rows = _table(spark, sf_dir, "events").withColumn("k", adapters.prop())
     lines = adapters.as_lines(rows, adapters.user_path(), n, line)
-    grouped = events.number_and_group(events.trusted_lines(lines))
+    grouped = _once(events.number_and_group(events.trusted_lines(lines, with_faults=True)))
     kept = chunks.without_files(grouped, events.file_errors(grouped))
     return events.valid_events(kept).groupBy("file_path").agg(F.count("*").alias("n_events"))
 
@@ -219,7 +228,7 @@ def _secret_texts(spark, sf_dir) -> DataFrame:
         .when(d % 6 == 4, F.concat(F.lit("BEARER "), text))
         .otherwise(text)
     )
-    return _table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", made.alias("text"))
 
 
 @query
@@ -247,7 +256,7 @@ def sensitive_keys(spark, sf_dir):
         quoted,
         F.lit("}"),
     )
-    rows = _table(spark, sf_dir, "documents").select("doc_id", strict_json(line).alias("_j"))
+    rows = _documents(spark, sf_dir).select("doc_id", strict_json(line).alias("_j"))
     return rows.select("doc_id", F.col("_j.raw_json").alias("raw_json"))
 
 
@@ -336,14 +345,16 @@ def _environment_log(spark, sf_dir) -> DataFrame:
 
 @query
 def session_rows(spark, sf_dir):
-    rows = sessions.sessions(_environment_log(spark, sf_dir), _talk_files(spark, sf_dir))
+    grouped = _once(_environment_log(spark, sf_dir))
+    rows = sessions.sessions(grouped, _talk_files(spark, sf_dir))
     return rows.drop("raw_json", "prelude_parts")
 
 
 @query
 def session_documents(spark, sf_dir):
     """Stored prelude of each session."""
-    rows = sessions.sessions(_talk(spark, sf_dir), _talk_files(spark, sf_dir))
+    grouped = _once(_talk(spark, sf_dir))
+    rows = sessions.sessions(grouped, _talk_files(spark, sf_dir))
     return rows.select("file_path", "raw_json", "prelude_parts")
 
 
@@ -363,7 +374,7 @@ def tag_values(spark, sf_dir):
         .when(d % 4 == 2, F.concat(F.lit("<cwd>"), text, F.lit("</cwd><cwd>2</cwd>")))
         .otherwise(text)
     )
-    return _table(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id", texts.tag_value(tagged, "cwd").alias("cwd")
     )
 
@@ -430,7 +441,7 @@ def call_waiting_line(spark, sf_dir):
 
 @query
 def function_calls(spark, sf_dir):
-    return calls.function_calls(_activity(spark, sf_dir)).drop(
+    return calls.function_calls(_once(_activity(spark, sf_dir))).drop(
         "raw_call_json", "raw_output_json"
     )
 
@@ -449,7 +460,7 @@ def prompt_template(spark, sf_dir):
         F.lit("\n-\n plain.py \n\n- after\n## My request for Codex: ignored\n"),
         F.col("text"),
     )
-    rows = _table(spark, sf_dir, "documents").select(
+    rows = _documents(spark, sf_dir).select(
         "doc_id", parse_prompt(message).alias("_p")
     )
     return rows.select("doc_id", "_p.*")
@@ -464,7 +475,7 @@ def _marked_documents(spark, sf_dir) -> DataFrame:
         F.lit("] see C:\\dir\\"), d, F.lit(" and [long note of "), d, F.lit("] in /var/log/"),
         d,
     )
-    return _table(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", marked.alias("text"))
 
 
 @query
@@ -488,7 +499,7 @@ _LITERALS = [
 
 @query
 def literal_rules(spark, sf_dir):
-    marked = _table(spark, sf_dir, "documents").select(
+    marked = _documents(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("(the. "), F.col("text")).alias("text")
     )
     done = rules.with_rules(marked, "text", rules.rules_from(_LITERALS))
@@ -515,7 +526,7 @@ def rule_totals(spark, sf_dir):
         )
     )
     lines = adapters.as_lines(talk, adapters.conv_path(), F.col("turn"), line)
-    grouped = events.number_and_group(events.trusted_lines(lines))
+    grouped = _once(events.number_and_group(events.trusted_lines(lines)))
     field_rules = [
         {"id": "vowels", "type": "regex", "pattern": "[aeiou]{3}", "scope": "field"},
     ]
@@ -541,7 +552,7 @@ def _redaction_requests(spark, sf_dir) -> DataFrame:
     """One request per document, every flaw among them."""
     d = F.col("doc_id")
     text = d.cast("string")
-    return _table(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         d.alias("id"),
         F.when(d % 11 != 0, F.concat(F.lit("conv-"), (d % 100).cast("string"))).alias("file_path"),
         F.when(d % 11 != 0, 1 + d % 3).alias("prompt_index"),
@@ -637,7 +648,7 @@ def manual_redactions(spark, sf_dir):
 
 @query
 def session_summaries(spark, sf_dir):
-    grouped = _activity(spark, sf_dir)
+    grouped = _once(_activity(spark, sf_dir))
     return summary.summaries(
         grouped,
         calls.match_calls(grouped),
@@ -653,8 +664,8 @@ def summary_totals(spark, sf_dir):
 
 @query
 def summary_error_lists(spark, sf_dir):
-    """Number and messages of the errors a summary carries."""
-    grouped = _flawed_log(spark, sf_dir)
+    """Number and lines of the errors a summary carries."""
+    grouped = _once(_flawed_log(spark, sf_dir))
     errors = events.ingest_errors(grouped)
     counted = summary.summaries(
         grouped, calls.match_calls(grouped), _activity_files(spark, sf_dir), errors
@@ -733,7 +744,7 @@ def table_copy(spark, sf_dir):
 @query
 def shortened_texts(spark, sf_dir):
     text = F.concat(F.lit(" \r\n"), F.col("text"), F.lit("\r"))
-    return _table(spark, sf_dir, "documents").select(
+    return _documents(spark, sf_dir).select(
         "doc_id",
         texts.shorten(text).alias("short_120"),
         texts.shorten(text, 500).alias("short_500"),
@@ -750,14 +761,16 @@ def event_descriptions(spark, sf_dir):
 
 @query
 def session_report(spark, sf_dir):
-    entries = report.report_entries(_talk(spark, sf_dir), _talk_files(spark, sf_dir))
+    grouped = _once(_talk(spark, sf_dir))
+    entries = report.report_entries(grouped, _talk_files(spark, sf_dir))
     return entries.select("file_path", "prompt_index", "seq", "part", "text")
 
 
 @query
 def session_report_texts(spark, sf_dir):
     """Whole report of each session."""
-    entries = report.report_entries(_talk(spark, sf_dir), _talk_files(spark, sf_dir))
+    grouped = _once(_talk(spark, sf_dir))
+    entries = report.report_entries(grouped, _talk_files(spark, sf_dir))
     return report.report_texts(entries)
 
 
@@ -800,7 +813,7 @@ def _strict_log(spark, sf_dir) -> DataFrame:
     )
     lines = adapters.as_lines(_table(spark, sf_dir, "conversations"), adapters.conv_path(), t, line)
     parsed = stage(events.parse_lines(lines, clean=False), "parsed")
-    return events.number_and_group(parsed)
+    return _once(events.number_and_group(parsed))
 
 
 @query

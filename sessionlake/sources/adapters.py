@@ -16,13 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_lines(rows: DataFrame, file_path: Column, position: Column, line: Column) -> DataFrame:
-    """Lines frame; positions are unique integers inside a file."""
-    return rows.select(
-        file_path.alias("file_path"),
-        chunk_of(position).alias("chunk"),
-        position.cast("bigint").alias("pos"),
-        line.alias("line"),
-    )
+    """Lines frame; positions are unique integers inside a file.
+
+    The one shuffle all ordered work needs comes first, on the source columns: they
+    are smaller than the lines made from them.
+    """
+    placed = rows.withColumns(
+        {
+            "file_path": file_path,
+            "chunk": chunk_of(position),
+            "pos": position.cast("bigint"),
+        }
+    ).repartition("file_path", "chunk")
+    return placed.select("file_path", "chunk", "pos", line.alias("line"))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than the cluster."""
+    if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+        return rows.repartition(key)
+    return rows
 
 
 def event_json(event_type: str, timestamp: Column, payload: Column) -> Column:
