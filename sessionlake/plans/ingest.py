@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sessionlake.functions.rules import Rule
 from sessionlake.operators import (
     calls,
     chunks,
     events,
     extract,
+    rule_pass,
     sessions,
     summary,
     tables,
@@ -19,6 +22,8 @@ from sessionlake.schemas import EXTRA_TABLES, TABLES
 from sessionlake.session import stage
 from sessionlake.sources import discovery, jsonl
 
+REDACTED_TABLES = [*rule_pass.USER_TEXT, *rule_pass.AGENT_TEXT]
+
 
 class IngestFailed(ValueError):
     """A file could not be ingested and bad files are not tolerated."""
@@ -31,40 +36,54 @@ class Ingested:
     tables: dict[str, DataFrame]
     summary: DataFrame
     failed_files: DataFrame
-    grouped: DataFrame
+    first_failure: str | None
+    rule_totals: DataFrame | None = None
 
 
-def build(
-    lines: DataFrame, files: DataFrame, on_bad_file: str = "fail"
-) -> Ingested:
-    """All tables of the given lines.
-
-    The parsed lines are written once, before and after numbering, and every table
-    reads from there with its own columns. A file that cannot be stored as a whole
-    is left out of all tables ('quarantine') or stops the ingest ('fail').
-    """
-    parsed = stage(events.parse_lines(lines), "parsed")
-    numbered = stage(events.number_and_group(parsed), "grouped")
-    stuck = sessions.session_details(numbered).where("nested").select(
+def failed_files(grouped: DataFrame) -> DataFrame:
+    """Files that cannot be stored as a whole, with their first reason."""
+    nested = sessions.session_details(grouped).where("nested").select(
         "file_path",
         F.lit(None).cast("bigint").alias("line_number"),
         F.lit("nested value in a session field").alias("reason"),
     )
-    failed = stage(
-        events.file_errors(numbered)
-        .unionByName(stuck)
+    line = F.coalesce("line_number", F.lit(0))
+    return (
+        events.file_errors(grouped)
+        .unionByName(nested)
         .groupBy("file_path")
-        .agg(F.min_by(F.struct("line_number", "reason"), F.coalesce("line_number", F.lit(2**62))).alias("f"))
-        .select("file_path", "f.line_number", "f.reason"),
-        "failed",
+        .agg(F.min_by(F.struct("line_number", "reason"), line).alias("f"))
+        .select("file_path", "f.line_number", "f.reason")
     )
-    worst = failed.orderBy(discovery.discovery_order()).first()
-    if worst is not None and on_bad_file == "fail":
-        raise IngestFailed(worst.reason)
-    grouped = numbered if worst is None else chunks.without_files(numbered, failed)
-    kept = files if worst is None else files.join(failed, "file_path", "left_anti")
+
+
+def build(
+    lines: DataFrame,
+    files: DataFrame,
+    on_bad_file: str = "fail",
+    rules: Iterable[Rule] = (),
+) -> Ingested:
+    """All tables of the given lines.
+
+    Parsed lines are written once before and once after numbering, and every table
+    reads from there with its own columns. Bad files are left out of all tables:
+    with 'quarantine' only those, with 'fail' also all files after the first one.
+    """
+    if on_bad_file not in ("fail", "quarantine"):
+        raise ValueError(f"on_bad_file must be 'fail' or 'quarantine', not {on_bad_file!r}")
+    parsed = stage(events.parse_lines(lines), "parsed")
+    numbered = stage(events.number_and_group(parsed), "grouped")
+    failed = stage(failed_files(numbered), "failed")
+    worst = discovery.first_files(failed, 1).first()
+    grouped, kept = numbered, files
+    if worst is not None:
+        dropped = failed.select("file_path")
+        if on_bad_file == "fail":
+            start = discovery.discovery_order(F.lit(worst.file_path))
+            dropped = files.where(discovery.discovery_order() >= start)
+        grouped = chunks.without_files(numbered, dropped)
+        kept = files.join(dropped.select("file_path"), "file_path", "left_anti")
     errors = events.ingest_errors(grouped)
-    found_calls = calls.match_calls(grouped)
     parts = sessions.prelude_parts(grouped)
     built = {
         "files": kept.select("file_path", F.current_timestamp().alias("ingested_at")),
@@ -79,8 +98,18 @@ def build(
         "prelude_parts": parts,
         "ingest_errors": errors,
     }
-    counted = summary.summaries(grouped, found_calls, kept, errors)
-    return Ingested(built, counted, failed, grouped)
+    found = None
+    rules = list(rules)
+    if rules:
+        redacted = {
+            name: rule_pass.redact_table(built[name], name, rules)
+            for name in REDACTED_TABLES
+        }
+        found = rule_pass.rule_totals(redacted.values())
+        built |= {name: frame.drop("rule_counts") for name, frame in redacted.items()}
+    counted = summary.summaries(grouped, calls.match_calls(grouped), kept, errors)
+    failure = worst.reason if worst is not None and on_bad_file == "fail" else None
+    return Ingested(built, counted, failed, failure, found)
 
 
 def ingest_directory(
@@ -89,34 +118,39 @@ def ingest_directory(
     base: str,
     limit: int | None = None,
     on_bad_file: str = "fail",
+    rules: Iterable[Rule] = (),
 ) -> DataFrame:
     """Ingest the session files below ``root`` into the tables at ``base``.
 
-    Gives the summary per file. Files ingested before are replaced.
+    Gives the summary per file. Files ingested before are replaced. With 'fail' the
+    files before the first bad one are stored, then IngestFailed is raised.
     """
     files = discovery.session_files(spark, root)
     if limit is not None:
         files = discovery.first_files(files, limit)
-    return _store(
-        spark, jsonl.read_lines(spark, root, limit), files, base, on_bad_file
-    )
+    if files.isEmpty():
+        raise discovery.NoSessionsFound(f"No session files found under {root}")
+    lines = jsonl.read_lines(spark, root, limit)
+    return store(spark, build(lines, files, on_bad_file, rules), base)
 
 
-def ingest_file(spark: SparkSession, path: str, base: str) -> DataFrame:
+def ingest_file(
+    spark: SparkSession, path: str, base: str, rules: Iterable[Rule] = ()
+) -> DataFrame:
     """Ingest one explicitly named file."""
     listed = spark.read.format("binaryFile").load(path)
     files = listed.select(
         discovery.readable_path(F.col("_metadata.file_path")).alias("file_path")
     )
-    return _store(spark, jsonl.read_file(spark, path), files, base, "fail")
+    return store(spark, build(jsonl.read_file(spark, path), files, "fail", rules), base)
 
 
-def _store(
-    spark: SparkSession, lines: DataFrame, files: DataFrame, base: str, on_bad_file: str
-) -> DataFrame:
-    result = build(lines, files, on_bad_file)
+def store(spark: SparkSession, result: Ingested, base: str) -> DataFrame:
+    """Write the tables of an ingest and give its summary."""
     counted = stage(result.summary, "summary")
     store_tables(spark, result.tables, base)
+    if result.first_failure is not None:
+        raise IngestFailed(result.first_failure)
     return counted
 
 

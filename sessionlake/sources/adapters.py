@@ -19,16 +19,17 @@ def as_lines(rows: DataFrame, file_path: Column, position: Column, line: Column)
     """Lines frame; positions are unique integers inside a file.
 
     The one shuffle all ordered work needs comes first, on the source columns: they
-    are smaller than the lines made from them.
+    are smaller than the lines made from them. Rows without a file or position are
+    no lines; saying so here lets both readers of the shuffle share it.
     """
     placed = rows.withColumns(
-        {
-            "file_path": file_path,
-            "chunk": chunk_of(position),
-            "pos": position.cast("bigint"),
-        }
-    ).repartition("file_path", "chunk")
-    return placed.select("file_path", "chunk", "pos", line.alias("line"))
+        {"file_path": file_path, "chunk": chunk_of(position)}
+    ).where("file_path IS NOT NULL AND chunk IS NOT NULL").repartition(
+        "file_path", "chunk"
+    )
+    return placed.select(
+        "file_path", "chunk", position.cast("bigint").alias("pos"), line.alias("line")
+    )
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:

@@ -35,9 +35,9 @@ def session_glob(root: str) -> str:
     return root.rstrip("/") + "/*/*/*/*"
 
 
-def discovery_order(path: str = "file_path") -> Column:
+def discovery_order(path: Column | None = None) -> Column:
     """Sort key: year, month, day and file name, compared one by one."""
-    parts = _parts(F.col(path))
+    parts = _parts(F.col("file_path") if path is None else path)
     return F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), F.lit(4))
 
 

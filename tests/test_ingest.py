@@ -144,8 +144,15 @@ def test_bad_lines_fail_the_file(spark, log_root, tmp_path):
             "2025/1/1/late.jsonl": [*small_session(), event("event_msg", {"type": "x"}, None)],
         }
     )
+    (tmp_path / "logs/2024/1/1").mkdir(parents=True)
+    first = tmp_path / "logs/2024/1/1/first.jsonl"
+    first.write_text(json.dumps(small_session()[1]) + "\n")
+    base = str(tmp_path / "t1")
     with pytest.raises(ingest.IngestFailed, match="Failed to parse JSON on line 3 of .*bad.jsonl"):
-        ingest.ingest_directory(spark, root, str(tmp_path / "t1"))
+        ingest.ingest_directory(spark, root, base)
+    # Files before the bad one stay stored.
+    assert rows(tables.read_table(spark, base, "prompts"), "file_path") == [(str(first),)]
+    first.unlink()
     base = str(tmp_path / "t2")
     summary = ingest.ingest_directory(spark, root, base, on_bad_file="quarantine")
     assert [r.file_path.rsplit("/", 1)[1] for r in summary.collect()] == ["good.jsonl"]
@@ -180,6 +187,29 @@ def test_invalid_events_are_reported_and_skipped(spark, log_root, tmp_path):
     }
 
 
+def test_rules_at_ingest(spark, log_root, tmp_path):
+    from sessionlake.functions.rules import DEFAULT_RULES
+
+    root = log_root(
+        {
+            "2025/1/1/a.jsonl": [
+                msg("user_message", message="mail me@x.org [redact pw=123]"),
+                msg("agent_reasoning", text="see /etc/passwd or me@x.org [long bracket text]"),
+                item("function_call", name="shell", arguments="cat /etc/hosts"),
+            ]
+        }
+    )
+    base = str(tmp_path / "t")
+    ingest.ingest_directory(spark, root, base, rules=DEFAULT_RULES)
+    assert tables.read_table(spark, base, "prompts").first().message == (
+        "mail <REDACTED> <REDACTED>"
+    )
+    assert tables.read_table(spark, base, "agent_reasoning_messages").first().text == (
+        "see <REDACTED> or <REDACTED> [long bracket text]"
+    )
+    assert tables.read_table(spark, base, "function_calls").first().arguments == "cat <REDACTED>"
+
+
 def test_empty_file_keeps_its_session(spark, log_root, tmp_path):
     root = log_root({"2025/1/1/empty.jsonl": "", "2025/1/1/one.jsonl": small_session()})
     base = str(tmp_path / "t")
