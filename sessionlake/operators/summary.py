@@ -119,17 +119,17 @@ def error_preview(errors: DataFrame, shown: int = 3) -> DataFrame:
         .where(F.col("_n") <= shown)
         .withColumn("_n", F.row_number().over(in_file))
         .where(F.col("_n") <= shown)
-        .select("file_path", F.col("_n").alias("line_no"), text.alias("text"))
+        .select("file_path", F.col("_n").cast("bigint").alias("line_no"), text.alias("text"))
     )
     counts = errors.groupBy("file_path").agg(F.count("*").alias("_count"))
     first = counts.select(
         "file_path",
-        F.lit(0).alias("line_no"),
+        F.lit(0).cast("bigint").alias("line_no"),
         F.concat(F.lit("errors: "), F.col("_count").cast("string")).alias("text"),
     )
     more = counts.where(F.col("_count") > shown).select(
         "file_path",
-        F.lit(shown + 1).alias("line_no"),
+        F.lit(shown + 1).cast("bigint").alias("line_no"),
         F.concat(
             F.lit("  - ... "), (F.col("_count") - shown).cast("string"), F.lit(" more")
         ).alias("text"),
