@@ -35,6 +35,31 @@ def write_table(frame: DataFrame, base: str, table: str, mode: str = "errorifexi
     conform(frame, table).write.mode(mode).parquet(f"{base}/{table}")
 
 
+def write_buckets(frame: DataFrame, base: str, table: str, mode: str) -> None:
+    """Append rows, or overwrite the folders that the rows belong to.
+
+    Rebalancing gathers small folders in one task and lets AQE split a huge one.
+    """
+    (
+        frame.withColumn("bucket", file_bucket())
+        .hint("rebalance", "bucket")
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(f"{base}/{table}")
+    )
+
+
+def drop_buckets(
+    spark: SparkSession, base: str, table: str, buckets: Iterable[int]
+) -> None:
+    """Remove folders whose rows all belonged to replaced files."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for bucket in buckets:
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{table}/bucket={bucket}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read_table(
     spark: SparkSession, base: str, table: str, buckets: list[int] | None = None
 ) -> DataFrame:

@@ -155,27 +155,30 @@ def store(spark: SparkSession, result: Ingested, base: str) -> DataFrame:
 
 
 def store_tables(spark: SparkSession, built: dict[str, DataFrame], base: str) -> None:
-    """Replace the rows of the ingested files in each stored table.
+    """Add the rows of the ingested files to the stored tables.
 
-    Tables are split in folders by a hash of the file, and only the folders of the
-    new files are rewritten. The new content of a folder is staged before the old
-    one is dropped, so a lost job can be run again with the same result.
+    Files seen for the first time are appended. When a file was stored before, the
+    folders (a hash of the file) that hold files of this ingest are rewritten
+    without its old rows. The files table is written first: an ingest that is lost
+    half way and run again finds its files known, and replaces what it left.
     """
-    files = built["files"].select("file_path")
-    touched = files.select(tables.file_bucket()).distinct()
-    buckets = [row.bucket for row in touched.collect()]  # BUCKETS values at most
+    files = stage(built["files"].select("file_path"), "new_files")
+    stored = tables.read_table(spark, base, "files")
+    known = stored.join(files, "file_path", "left_semi")
+    buckets = None
+    if not known.isEmpty():
+        touched = files.select(tables.file_bucket()).distinct()
+        buckets = [row.bucket for row in touched.collect()]  # BUCKETS values at most
     for name in [*TABLES, *EXTRA_TABLES]:
         if name not in built:
             continue
         fresh = tables.conform(built[name], name)
+        if buckets is None:
+            tables.write_buckets(fresh, base, name, "append")
+            continue
         old = tables.read_table(spark, base, name, buckets)
-        merged = tables.replace_files(old, fresh, files)
-        staged = stage(merged.withColumn("bucket", tables.file_bucket()), f"new_{name}")
-        # Rebalancing gathers small folders and lets AQE split a huge one.
-        (
-            staged.hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{base}/{name}")
-        )
+        # Staged first: the rows are read from the folders they will replace.
+        merged = stage(tables.replace_files(old, fresh, files), f"new_{name}")
+        tables.write_buckets(merged, base, name, "overwrite")
+        left = merged.select(tables.file_bucket()).distinct()
+        tables.drop_buckets(spark, base, name, set(buckets) - {r.bucket for r in left.collect()})

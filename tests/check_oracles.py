@@ -38,6 +38,10 @@ def canonical(columns, rows):
 def compare(spark, connection, sf_dir, name):
     """None if equal, else a short text; also gives the row count."""
     frame = contract.queries()[name](spark, sf_dir)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        if node in plan:
+            return f"plan with {node}", 0
     rows = [tuple(row) for row in frame.collect()]
     sql = contract.oracle_sql().get(name)
     if sql is None:

@@ -99,9 +99,17 @@ def test_two_sessions(spark, log_root, tmp_path):
     assert json.loads(stored[-1][4]) == {"type": "agent_message", "message": "Both match."}
 
     # A second ingest replaces the rows of its files and duplicates none.
+    log_root({"2025/11/23/b.jsonl": update_session()[:4], "2025/12/1/c.jsonl": small_session()})
     ingest.ingest_directory(spark, root, base)
     assert table("events").count() == 5
-    assert table("files").count() == 2
+    assert table("files").count() == 3
+    assert table("function_calls").count() == 0
+    assert rows(table("token_messages"), "primary_window_minutes") == [(60,), (60,)]
+
+    # One new file is appended.
+    log_root({"2025/12/2/d.jsonl": update_session()})
+    ingest.ingest_file(spark, f"{root}/2025/12/2/d.jsonl", base)
+    assert table("events").count() == 8 and table("files").count() == 4
 
 
 def test_discovery_depth_order_and_limit(spark, log_root):
