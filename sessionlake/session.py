@@ -25,14 +25,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+_own_folders: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is set."""
+    """Shared folder named by the cluster; a local one only where none is set.
+
+    The setting cannot be changed in a running session, so an own folder is kept
+    per application.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="sessionlake-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = tempfile.mkdtemp(prefix="sessionlake-")
+        configured = _own_folders[application]
     return configured.rstrip("/")
 
 
