@@ -124,11 +124,11 @@ def run_rules(spark, value, entries):
 def test_rules_in_order(spark):
     literal = [
         {"id": "a", "type": "literal", "pattern": "secret"},
-        {"id": "b", "type": "LITERAL", "pattern": "Lauren", "ignore_case": False},
+        {"id": "b", "type": "LITERAL", "pattern": "Morgan", "ignore_case": False},
         {"id": "c", "type": "regex", "pattern": "nothing"},
         {"id": "d", "type": "regex", "pattern": "keeps", "enabled": False},
     ]
-    assert run_rules(spark, "Lauren keeps secret and SECRET", literal) == (
+    assert run_rules(spark, "Morgan keeps secret and SECRET", literal) == (
         "<REDACTED> keeps <REDACTED> and <REDACTED>",
         {"a": 2, "b": 1},
     )
