@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionlake.llm import decontaminate, language
+from sessionlake.llm import decontaminate, language, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language.is_held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op3_decontaminate(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
