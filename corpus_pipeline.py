@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionlake.llm import decontaminate, language
+from sessionlake.llm import decontaminate, language, line_dedup, simhash
 from sessionlake.session import staging_root
 
 MIN_LANGUAGE_SCORE = 0.4
@@ -23,6 +23,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(known).drop("__lang", "__score")
 
 
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of cross-site boilerplate."""
+    return line_dedup.drop_boilerplate(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs, shingle=3, distance=2)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no telling share of benchmark passages."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -30,6 +40,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 STAGES = [
     ("language ID", language_id),
+    ("line dedup", line_deduplication),
+    ("SimHash near-dedup", simhash_near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionlake.llm import decontaminate, language, toxicity
+from sessionlake.llm import decontaminate, language, line_dedup, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,17 @@ def op4_language(spark, sf_dir):
     model = language.fit(documents.where("doc_id IS NOT NULL").where(~held_out))
     found = language.predict(documents.select("doc_id", "text"), model, "lang_pred", "score")
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op7_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
