@@ -85,36 +85,48 @@ class Model:
         totals = np.ones((len(ORDERS) + 1, len(self.langs)))
         for lang, order, _, times in rows:
             totals[order, number[lang]] += times
+        self.entries: list[dict[str, int]] = [{} for _ in totals]
+        orders: list[int] = []
+        for _, order, entry, _ in rows:
+            if entry not in self.entries[order]:
+                self.entries[order][entry] = len(orders)
+                orders.append(order)
         floors = -np.log(totals) - PENALTY
-        self.entries: list[dict[str, np.ndarray]] = [{} for _ in totals]
+        self.scores = floors[np.array(orders, dtype=np.int64)].astype(np.float32)
         for lang, order, entry, times in rows:
-            scores = self.entries[order].get(entry)
-            if scores is None:
-                scores = self.entries[order][entry] = floors[order].astype(np.float32)
-            scores[number[lang]] = np.log(times / totals[order, number[lang]])
+            score = np.log(times / totals[order, number[lang]])
+            self.scores[self.entries[order][entry], number[lang]] = score
 
-    def word(self, word: str) -> np.ndarray | None:
+    def parts(self, word: str) -> list[int]:
+        """Entries that speak for a word: itself, or its longest known n-grams."""
         known = self.entries[0].get(word)
         if known is not None:
-            return known
+            return [known]
         for order in ORDERS:
             entries = self.entries[order]
             found = [entries[g] for g in grams(word, order) if g in entries]
             if found:
-                return np.mean(found, axis=0)
-        return None
+                return found
+        return []
+
+    def words(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words by language, and which words have any."""
+        found = [self.parts(n) if any(map(str.isalpha, n)) else [] for n in names]
+        sizes = np.array([len(f) for f in found], dtype=np.int64)
+        known, scores = sizes > 0, np.zeros((len(names), len(self.langs)))
+        if known.any():
+            flat = np.array([e for f in found for e in f], dtype=np.int64)
+            heads = (np.cumsum(sizes) - sizes)[known]
+            sums = np.add.reduceat(self.scores[flat].astype(float), heads, axis=0)
+            scores[known] = sums / sizes[known, None]
+        return scores, known
 
     def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         answers, shares = [UNKNOWN] * len(column), np.zeros(len(column))
         if not self.langs:
             return answers, shares
         for low, high, names, place, rows in _distinct(column):
-            scores = np.zeros((len(names), len(self.langs)))
-            counted = np.zeros(len(names))
-            for i, name in enumerate(names):
-                found = self.word(name) if name.isalpha() or any(map(str.isalpha, name)) else None
-                if found is not None:
-                    scores[i], counted[i] = found, 1
+            scores, counted = self.words(names)
             n = np.bincount(rows, weights=counted[place], minlength=high - low)
             mean = np.stack(
                 [
@@ -135,7 +147,7 @@ class Model:
         return answers, shares
 
 
-def fit(labelled: DataFrame, max_documents: int = 20_000, max_entries: int = 300_000) -> Model:
+def fit(labelled: DataFrame, max_documents: int = 8_000, max_entries: int = 300_000) -> Model:
     """Model from documents with a text and a lang; see above for the two bounds."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
