@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionlake.llm import decontaminate, language, line_dedup, simhash
+from sessionlake.llm import decontaminate, language, line_dedup, packing, simhash
 from sessionlake.session import staging_root
 
 MIN_LANGUAGE_SCORE = 0.4
@@ -38,11 +38,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("language ID", language_id),
     ("line dedup", line_deduplication),
     ("SimHash near-dedup", simhash_near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: SQL cannot express the stages; tests compare them with brute force.

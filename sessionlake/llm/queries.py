@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionlake.llm import decontaminate, language, line_dedup, pii, simhash, toxicity
+from sessionlake.llm import decontaminate, language, line_dedup, packing, pii, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +60,11 @@ def op7_line_dedup(spark, sf_dir):
 ORACLES["op7_line_dedup"] = line_dedup.SQL
 
 
+@query
+def op8_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 @query
 def op9_pii(spark, sf_dir):
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
