@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionlake.llm import decontaminate, language, line_dedup, packing, pii, simhash, toxicity
+from sessionlake.llm import (
+    decontaminate,
+    language,
+    line_dedup,
+    packing,
+    pii,
+    simhash,
+    top_k,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +45,12 @@ def op1_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op2_url_filter(spark, sf_dir):
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op3_decontaminate(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +67,15 @@ def op4_language(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op6_top_k"] = top_k.SQL
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
