@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,10 +14,12 @@ from sessionlake.llm import (
     packing,
     pii,
     simhash,
+    token_file,
     top_k,
     toxicity,
     url_filter,
 )
+from sessionlake.session import staging_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +70,13 @@ def op4_language(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_token_file(spark, sf_dir):
+    folder = f"{staging_root(spark)}/sessionlake/{uuid.uuid4().hex}/token_ids"
+    token_file.write(table(spark, sf_dir, "documents"), folder)
+    return token_file.read(spark, folder)
+
+
 @query
 def op6_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")

@@ -52,7 +52,7 @@ class Encoder:
         if len(self.held) > self.held_pieces:
             self.held.clear()
         held = self.held
-        new = list({p for found in pieces if found for p in found if p not in held})
+        new = list(set().union(*(set(found).difference(held) for found in pieces if found)))
         held.update(zip(new, self._library(new)))
         ids = [
             self._library([text])[0] if found is None else b"".join(map(held.__getitem__, found))
