@@ -230,7 +230,7 @@ def find_contamination(
     return found.select(*documents.columns, joined.alias(name))
 
 
-@F.udf(SPANS)
+@F.udf(SPANS, useArrow=True)
 def merge_spans(spans):
     return merged([tuple(span) for span in spans])
 

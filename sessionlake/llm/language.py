@@ -28,7 +28,7 @@ from sessionlake.llm.words import byte_class, find_words, slices, utf8
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
-PENALTY = 2.0  # nats below the rarest entry, for what a language never showed
+PENALTY = 2.0  # nats below the rarest entry of any language, for what one never showed
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -82,7 +82,7 @@ class Model:
     def __init__(self, rows: list[tuple[str, int, str, int]]):
         self.langs = sorted({row[0] for row in rows})
         number = {lang: i for i, lang in enumerate(self.langs)}
-        totals = np.ones((len(ORDERS) + 1, len(self.langs)))
+        totals = np.ones((len(ORDERS) + 1, max(1, len(self.langs))))
         for lang, order, _, times in rows:
             totals[order, number[lang]] += times
         self.entries: list[dict[str, int]] = [{} for _ in totals]
@@ -91,7 +91,8 @@ class Model:
             if entry not in self.entries[order]:
                 self.entries[order][entry] = len(orders)
                 orders.append(order)
-        floors = -np.log(totals) - PENALTY
+        # One floor for all, or a language seen little would pass for any unknown word.
+        floors = np.repeat(-np.log(totals.max(axis=1, keepdims=True)) - PENALTY, totals.shape[1], 1)
         self.scores = floors[np.array(orders, dtype=np.int64)].astype(np.float32)
         for lang, order, entry, times in rows:
             score = np.log(times / totals[order, number[lang]])

@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sessionlake.llm.components import connected_components
 from sessionlake.session import stage
@@ -183,34 +183,31 @@ def plan(prints: DataFrame, distance: int) -> list[tuple[list[int], int]]:
 
 # --- probing and verifying ---------------------------------------------------
 
+FEW_BITS = 6  # distinct fingerprints that agree in all other bits are at most 64
 
-def _keys(bits: list[int], threshold: int, number: int, probe: bool) -> list[Column]:
-    """Buckets of a fingerprint in one part: its own value, and for probes those near it."""
-    mask = F.lit(signed(mask_of(bits)))
-    flips = [0]
-    if probe:
+
+def _entries(prints: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """Rows (fp, bucket, probe, rest): where each fingerprint is indexed and looks.
+
+    ``rest`` has the bits that say nothing about the bucket.
+    """
+    places = []
+    for bits, threshold in parts:
+        mask, rest = mask_of(bits), mask_of([b for b in range(BITS) if b not in bits])
         flips = [
             mask_of(list(chosen))
             for k in range(threshold + 1)
             for chosen in combinations(bits, k)
         ]
-    return [
-        F.xxhash64(F.lit(number), F.col("fp").bitwiseXOR(F.lit(signed(flip))).bitwiseAND(mask))
-        for flip in flips
-    ]
-
-
-def _entries(prints: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows (bucket, fp, probe, plan): where each fingerprint is indexed and looks."""
-    found = []
-    for number, (bits, threshold) in enumerate(parts):
-        for probe in (False, True):
-            found += [
-                F.struct(k.alias("bucket"), F.lit(probe).alias("probe"), F.lit(number).alias("plan"))
-                for k in _keys(bits, threshold, number, probe)
-            ]
-    rows = prints.select("fp", F.explode(F.array(*found)).alias("e"))
-    return rows.select("fp", "e.bucket", "e.probe", "e.plan")
+        for probe, flip in [(False, 0), *((True, flip) for flip in flips)]:
+            values = (signed(mask), signed(rest), signed(flip))
+            names = ("mask", "rest", "flip")
+            fields = [F.lit(v).cast("bigint").alias(n) for v, n in zip(values, names)]
+            places.append(F.struct(F.lit(probe).alias("probe"), *fields))
+    rows = prints.select("fp", F.explode(F.array(*places)).alias("at"))
+    value = F.col("fp").bitwiseXOR(F.col("at.flip")).bitwiseAND(F.col("at.mask"))
+    bucket = F.xxhash64("at.mask", value)
+    return rows.select("fp", bucket.alias("bucket"), "at.probe", "at.rest")
 
 
 def _meet(entries: DataFrame, distance: int) -> DataFrame:
@@ -228,44 +225,44 @@ def links(
 ) -> DataFrame:
     """All pairs (a < b) of distinct fingerprints ``fp`` that differ in few enough bits."""
     parts = parts or plan(prints, distance)
-    entries = _entries(prints, parts)
-    rest = [[b for b in range(BITS) if b not in bits] for bits, _ in parts]
+    entries = stage(_entries(prints, parts), "probes")
     found = None
     while True:
-        entries = stage(entries, "probes")
         sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"))
         large = sizes.where(F.col("n") > 2 * bucket_rows).select("bucket", F.lit(True).alias("hot"))
         large = stage(large, "large_buckets")
-        some = large.limit(1).count() > 0
-        if some:
-            entries = stage(entries.join(large, "bucket", "left"), "sized")
-            pairs = _meet(entries.where("hot IS NULL"), distance)
-        else:
+        if not large.limit(1).count():
             pairs = _meet(entries, distance)
+            return (pairs if found is None else found.union(pairs)).distinct()
+        split = F.col("hot") & (F.bit_count("rest") > FEW_BITS)
+        sized = entries.join(large, "bucket", "left").withColumn("split", F.coalesce(split, F.lit(False)))
+        sized = stage(sized, "sized")
+        pairs = _meet(sized.where("NOT split"), distance)
         found = pairs if found is None else found.union(pairs)
-        if not some:
+        rests = [r["rest"] for r in sized.where("split").select("rest").distinct().collect()]
+        if not rests:
             return found.distinct()
-        entries, rest = _split(entries.where("hot"), rest, distance)
+        entries = stage(_split(sized.where("split"), rests, distance), "probes")
 
 
-def _split(entries: DataFrame, rest: list[list[int]], distance: int):
-    """The rows of large buckets in buckets of fewer common bits.
+def _split(entries: DataFrame, rests: list[int], distance: int) -> DataFrame:
+    """The rows of large buckets in buckets that more bits decide.
 
-    Two that meet differ in at most ``distance`` of the other bits, so of distance + 1
-    groups of these one is equal. Groups of a few bits part rows all the same, since
-    what is left then has few values.
+    Two that match differ in at most ``distance`` of the bits in ``rest``, so of
+    distance + 1 groups of these one is equal. ``rests`` are the few values of ``rest``.
     """
-    options, after = [], []
-    for number, bits in enumerate(rest):
-        groups = [bits[k :: distance + 1] for k in range(distance + 1)]
-        choices = []
-        for group in groups:
-            key = F.xxhash64("bucket", F.lit(len(after)), F.col("fp").bitwiseAND(F.lit(signed(mask_of(group)))))
-            choices.append(F.struct(key.alias("bucket"), F.lit(len(after)).alias("plan")))
-            after.append([b for b in bits if b not in group])
-        options.append(F.when(F.col("plan") == number, F.array(*choices)))
-    rows = entries.select("fp", "probe", F.explode(F.coalesce(*options)).alias("e"))
-    return rows.select("fp", "e.bucket", "probe", "e.plan"), after
+    groups = []
+    for rest in rests:
+        bits = [b for b in range(BITS) if rest >> b & 1]
+        for k in range(distance + 1):
+            mask = mask_of(bits[k :: distance + 1])
+            groups.append((rest, signed(mask), signed(rest & (1 << BITS) - 1 & ~mask)))
+    spark = entries.sparkSession
+    table = spark.createDataFrame(groups, "rest bigint, mask bigint, after bigint")
+    bucket = F.xxhash64("bucket", "mask", F.col("fp").bitwiseAND(F.col("mask")))
+    return entries.join(table, "rest").select(
+        "fp", bucket.alias("bucket"), "probe", F.col("after").alias("rest")
+    )
 
 
 def _roots(prints: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
