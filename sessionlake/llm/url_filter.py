@@ -177,8 +177,8 @@ def bayes_scores(signatures: DataFrame, words: DataFrame) -> DataFrame:
     allowed, blocked, kinds = counts.agg(F.sum("allowed"), F.sum("blocked"), F.count("*")).first()
     urls = signatures.agg(F.sum("allowed"), F.sum("blocked")).first()
     prior = math.log(((urls[1] or 0) + 1) / ((urls[0] or 0) + 1))
-    weight = F.log((F.col("blocked") + 1) / F.lit((blocked or 0) + kinds + 1.0)) - F.log(
-        (F.col("allowed") + 1) / F.lit((allowed or 0) + kinds + 1.0)
+    weight = F.log((F.col("blocked") + 1) / F.lit(float((blocked or 0) + max(kinds, 1)))) - F.log(
+        (F.col("allowed") + 1) / F.lit(float((allowed or 0) + max(kinds, 1)))
     )
     weights = counts.select("token", weight.alias("weight"))
     sums = tokens.join(weights, "token").groupBy("signature").agg(F.sum("weight").alias("sum"))

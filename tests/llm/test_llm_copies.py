@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -277,7 +278,7 @@ def test_reduction_keeps_the_best_packing_possible():
 
 def test_packing_and_token_file_of_odd_rows(spark, odd, none, library, tmp_path):
     unique = odd.where("doc_id > 1")
-    check_packing(unique.collect(), library, packing.pack_documents(odd).where("doc_id > 1").collect(), 2048)
+    check_packing(unique.collect(), library, packing.pack_documents(unique).collect(), 2048)
     assert packing.pack_documents(odd).where("doc_id = 1").count() == 2
     assert packing.pack_documents(none).count() == 0
     token_file.write(odd, str(tmp_path / "odd"), segment_ids=50)
@@ -358,16 +359,16 @@ def test_top_k_of_unlike_lengths(spark, block, monkeypatch):
     rows += [(400, rows[7][1]), (401, None), (402, [1.0, None]), (403, [float("nan")]), (404, [float("inf")])]
     rows += [(405, [0.0] * 8), (406, []), (None, [1.0] * 8), (420, [0.0] * 8), (425, [0.5, -0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
-    found = top_k.top_k(frame, frame.vec_id % 5 == 0, 5, block)
+    found = top_k.top_k(frame, F.col("vec_id") % 5 == 0, 5, block)
     assert sorted(map(tuple, found.collect())) == sorted(plain_top(rows, 5, 5))
 
 
 def test_top_k_of_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
-    assert [tuple(r) for r in top_k.top_k(two, two.vec_id == 0).collect()] == [(0, 1, 1, 131072)]
+    assert [tuple(r) for r in top_k.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 131072)]
     empty = two.where("false")
-    assert top_k.top_k(empty, empty.vec_id == 0).count() == 0
+    assert top_k.top_k(empty, F.col("vec_id") == 0).count() == 0
 
 
 # --- urls --------------------------------------------------------------------
