@@ -52,8 +52,10 @@ def pieces(documents: DataFrame, path: str, capacity: int) -> DataFrame:
         "task bigint, place bigint"
     )
 
+    shared = documents.sparkSession.sparkContext.broadcast(Encoder(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), np.zeros(capacity + 1, dtype=np.int64)
+        encoder, seen = shared.value, np.zeros(capacity + 1, dtype=np.int64)
         end = END.to_bytes(4, "little")
         for batch in batches:
             for low, high in slices(utf8(batch.column("text"))[1]):

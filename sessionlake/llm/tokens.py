@@ -2,7 +2,8 @@
 
 The tokenizer splits a text by a fixed pattern and merges inside each piece only, so the
 ids of a piece do not depend on its neighbours. Pieces are looked up in a table that
-a task fills as it goes; the library encodes each piece when it is first met. Texts with
+fills as texts come by; the library encodes each piece when it is first met. Broadcast,
+an encoder keeps its table for all tasks of a Python worker. Texts with
 characters that are not in the scripts below go to the library whole, since pattern
 libraries know different Unicode versions. Strings of special tokens are ordinary text.
 """
@@ -10,8 +11,8 @@ libraries know different Unicode versions. Strings of special tokens are ordinar
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -32,22 +33,28 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; its table has bounded size."""
 
-    def __init__(self, path: str, held_pieces: int = 400_000):
+    def __init__(self, path: str, held_pieces: int = 700_000):
+        self.path, self.held_pieces = path, held_pieces
+        self.held: dict[str, bytes] = {}
+        self.tokenizer: Tokenizer | None = None
+
+    def _open(self) -> None:
+        """Load the vocabulary where the texts are, at the first of them."""
         import public_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(self.path)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(f"[^{SCRIPTS}]").search
-        self.held_pieces = held_pieces
-        self.held: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.tokenizer is None:
+            self._open()
         pieces = [None if text and self.odd(text) else self.split(text or "") for text in texts]
         if len(self.held) > self.held_pieces:
             self.held.clear()
