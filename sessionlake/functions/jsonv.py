@@ -12,12 +12,20 @@ from pyspark.sql import Column, functions as F
 _BIG_INTEGER = r"^DECIMAL\((19|[23]\d),0\)$"
 
 
+# The parser's own limits on strings, numbers and depth are far below a variant's.
+_NO_LIMITS = {
+    name: str(2**31 - 1) for name in ("maxStringLen", "maxNumLen", "maxNestingDepth")
+}
+
+
 def parse(text: Column) -> Column:
     """VARIANT of a JSON text; NaN and Infinity, legal in the logs, read as null."""
     plain = F.regexp_replace(
         text, r"(?<=[\[:,]\s?)(?:NaN|-?Infinity)(?=\s?[,\]}])", "null"
     )
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(plain))
+    return F.coalesce(
+        F.try_parse_json(text), F.try_parse_json(plain), F.from_json(plain, "variant", _NO_LIMITS)
+    )
 
 
 def at(value: Column, path: str) -> Column:

@@ -16,6 +16,7 @@ BAD_TIMESTAMP = "Event 'timestamp' must be a string or null."
 BAD_PAYLOAD = "Event 'payload' must be a JSON object."
 
 NOT_UTF8 = "not valid UTF-8"
+TOO_LARGE = "JSON value too large to read"
 
 
 def _containers(event: Column, *paths: str) -> Column:
@@ -194,22 +195,25 @@ def classify(opened: DataFrame, with_faults: bool = False) -> DataFrame:
         (payload.isNull() | F.is_variant_null(payload)).alias("_no_payload"),
         F.try_variant_get(payload, "$", "struct<type:variant>").alias("_payload"),
     )
+    # Sound JSON that no variant can hold (over 128 MiB) fails its file by name.
+    unread = F.col("raw_json").isNotNull() & event.isNull()
     error = (
-        F.when(F.col("raw_json").isNull(), None)
+        F.when(F.col("raw_json").isNull() | event.isNull(), None)
         .when(~F.col("_is_object"), NOT_AN_OBJECT)
         .when(F.col("event_type").isNull() | is_blank(F.col("event_type")), BAD_TYPE)
         .when(F.col("timestamp").isNull() & ~F.col("_no_stamp"), BAD_TIMESTAMP)
         .when(F.col("_payload").isNull() & ~F.col("_no_payload"), BAD_PAYLOAD)
     )
     judged = looked_up.select(
-        *kept,
+        *[F.coalesce("json_error", F.when(unread, TOO_LARGE)).alias("json_error")
+          if name == "json_error" else F.col(name) for name in opened.columns],
         event,
         "event_type",
         jsonv.string(F.col("_payload.type"), "$").alias("payload_type"),
         "timestamp",
         error.alias("event_error"),
     )
-    good = F.col("event_error").isNull() & F.col("raw_json").isNotNull()
+    good = F.col("event_error").isNull() & event.isNotNull()
     anchor = (
         good
         & (F.col("event_type") == "event_msg")

@@ -18,20 +18,28 @@ def _payloads(grouped: DataFrame, event_type: str, *payload_types: str) -> DataF
     return rows.withColumn("_p", jsonv.parse(payload_json()))
 
 
-def prompts(grouped: DataFrame) -> DataFrame:
-    """User messages with the parts of the prompt template."""
+TEMPLATE = ["active_file", "open_tabs", "my_request"]
+
+
+def messages(grouped: DataFrame) -> DataFrame:
+    """User messages."""
     rows = valid_events(grouped).where("is_anchor")
     message = jsonv.string(jsonv.parse(F.col("raw_json")), "$.payload.message")
-    told = rows.withColumn("message", F.coalesce(message, F.lit("")))
+    return rows.select(
+        *_KEY, "timestamp", F.coalesce(message, F.lit("")).alias("message"), "raw_json"
+    )
+
+
+def with_template(told: DataFrame) -> DataFrame:
+    """The parts of the prompt template from ``message``."""
     parts = told.withColumn("_parts", parse_prompt(F.col("message")))
-    return parts.select(
-        *_KEY,
-        "timestamp",
-        "message",
-        "_parts.active_file",
-        "_parts.open_tabs",
-        "_parts.my_request",
-        "raw_json",
+    return parts.withColumns({name: F.col(f"_parts.{name}") for name in TEMPLATE}).drop("_parts")
+
+
+def prompts(grouped: DataFrame) -> DataFrame:
+    """User messages with the parts of the prompt template."""
+    return with_template(messages(grouped)).select(
+        *_KEY, "timestamp", "message", *TEMPLATE, "raw_json"
     )
 
 

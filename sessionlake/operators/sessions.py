@@ -10,7 +10,7 @@ from sessionlake.operators import chunks
 from sessionlake.operators.events import prelude
 
 ENVIRONMENT = "<environment_context>"
-# A stored document is kept in one cell up to this size, else in several parts.
+# Size of the parts in which a document is put together.
 PART_BYTES = 8 * 1024 * 1024
 
 
@@ -138,17 +138,18 @@ def sessions(
 ) -> DataFrame:
     """One row per file, also where the prelude is empty.
 
-    ``raw_json`` holds the prelude when it fits in one part; a longer one stays
-    whole in ``prelude_parts`` and the cell is null.
+    ``raw_json`` is put together from the parts of the prelude, however many.
     """
     parts = prelude_parts(grouped) if parts is None else parts
     documents = parts.groupBy("file_path").agg(
         F.count("*").alias("n_parts"),
-        F.min_by("events_json", "part").alias("events_json"),
+        F.array_sort(F.collect_list(F.struct("part", "events_json"))).alias("_parts"),
     )
     n_parts = F.coalesce("n_parts", F.lit(0))
     document = F.concat(
-        F.lit('{"events": ['), F.coalesce("events_json", F.lit("")), F.lit("]}")
+        F.lit('{"events": ['),
+        F.coalesce(F.array_join(F.col("_parts.events_json"), ", "), F.lit("")),
+        F.lit("]}"),
     )
     return (
         files.select("file_path")
@@ -162,7 +163,7 @@ def sessions(
             "approval_policy",
             "sandbox_mode",
             "network_access",
-            F.when(n_parts <= 1, document).alias("raw_json"),
+            document.alias("raw_json"),
             n_parts.alias("prelude_parts"),
         )
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sessionlake.functions import jsonv
@@ -32,16 +34,15 @@ _ISO = (
 
 
 class _Iso:
-    """Pieces of an ISO timestamp text."""
+    """Pieces of an ISO timestamp, from a struct of the pattern's groups."""
 
-    def __init__(self, text: Column) -> None:
+    def __init__(self, groups: Column) -> None:
         def group(n: int) -> Column:
-            return F.regexp_extract(text, _ISO, n)
+            return groups[f"g{n}"]
 
         def or_zero(piece: Column) -> Column:
             return F.when(piece == "", "00").otherwise(piece)
 
-        self.matches = F.coalesce(text.rlike(_ISO), F.lit(False))
         self.date = F.concat_ws("-", group(1), group(2), group(3))
         self.clock = F.concat_ws(
             ":", or_zero(group(4)), or_zero(group(5)), or_zero(group(6))
@@ -54,7 +55,20 @@ class _Iso:
         )
         stamp = F.concat(self.date, F.lit(" "), self.clock, F.lit("."), self.micros)
         # The cast says whether month, day and clock exist in the calendar.
-        self.local = F.when(self.matches, stamp.try_cast("timestamp_ntz"))
+        self.local = F.when(group(1) != "", stamp.try_cast("timestamp_ntz"))
+
+
+def _with_pieces(text: Column, make: Callable[[_Iso], Column]) -> Column:
+    """``make`` of the pieces; the text is looked up once and each group taken once.
+
+    A one-element array binds a value to a name inside an expression. Its lambda is not
+    part of the generated code of its stage, which would outgrow its limit otherwise.
+    """
+    groups = F.transform(
+        F.array(text),
+        lambda t: F.struct(*(F.regexp_extract(t, _ISO, n).alias(f"g{n}") for n in range(1, 9))),
+    )
+    return F.transform(groups, lambda found: make(_Iso(found)))[0]
 
 
 def _offset_seconds(iso: _Iso) -> Column:
@@ -65,31 +79,38 @@ def _offset_seconds(iso: _Iso) -> Column:
 
 
 def is_iso_timestamp(text: Column) -> Column:
-    iso = _Iso(text)
-    return F.coalesce(iso.local.isNotNull(), F.lit(False)) & (
-        F.abs(_offset_seconds(iso)) < 86_400
-    )
+    def valid(iso: _Iso) -> Column:
+        return F.coalesce(iso.local.isNotNull(), F.lit(False)) & (
+            F.abs(_offset_seconds(iso)) < 86_400
+        )
+
+    return _with_pieces(text, valid)
 
 
 def iso_timestamp(text: Column) -> Column:
     """Instant in UTC (TIMESTAMP_NTZ); a text without offset is taken as it is."""
-    iso = _Iso(text)
-    return iso.local - F.make_dt_interval(secs=_offset_seconds(iso))
+    return _with_pieces(
+        text, lambda iso: iso.local - F.make_dt_interval(secs=_offset_seconds(iso))
+    )
 
 
 def iso_text(text: Column) -> Column:
     """The timestamp written back in its normal ISO form, with its own offset."""
-    iso = _Iso(text)
-    fraction = F.when(iso.micros == "000000", "").otherwise(
-        F.concat(F.lit("."), iso.micros)
-    )
-    offset = F.when(iso.offset.isNull(), "").otherwise(
-        F.concat(F.substr(iso.offset, F.lit(1), F.lit(3)), F.lit(":"), F.substr(iso.offset, F.lit(4), F.lit(2)))
-    )
-    return F.when(
-        iso.local.isNotNull(),
-        F.concat(iso.date, F.lit("T"), iso.clock, fraction, offset),
-    )
+
+    def written(iso: _Iso) -> Column:
+        fraction = F.when(iso.micros == "000000", "").otherwise(
+            F.concat(F.lit("."), iso.micros)
+        )
+        hours, minutes = (F.substr(iso.offset, F.lit(a), F.lit(n)) for a, n in ((1, 3), (4, 2)))
+        offset = F.when(iso.offset.isNull(), "").otherwise(
+            F.concat(hours, F.lit(":"), minutes)
+        )
+        return F.when(
+            iso.local.isNotNull(),
+            F.concat(iso.date, F.lit("T"), iso.clock, fraction, offset),
+        )
+
+    return _with_pieces(text, written)
 
 
 def _stamp_ok(event: Column) -> Column:

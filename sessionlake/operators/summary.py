@@ -14,8 +14,6 @@ COUNTS = [
     "function_plan_messages",
     "function_calls",
 ]
-# Errors kept inside a summary row; the full list is the ingest_errors table.
-INLINE_ERRORS = 1000
 
 
 def event_counts(grouped: DataFrame) -> DataFrame:
@@ -69,27 +67,15 @@ def summaries(
     )
 
 
-def with_error_lists(
-    summary: DataFrame, errors: DataFrame, inline: int = INLINE_ERRORS
-) -> DataFrame:
-    """Add ``error_list``, the error records of the file in order.
-
-    A file with more than ``inline`` errors keeps them in the ingest_errors table
-    only: its list is null, never cut short.
-    """
-    few = summary.where(F.col("errors").between(1, inline)).select("file_path", "errors")
+def with_error_lists(summary: DataFrame, errors: DataFrame) -> DataFrame:
+    """Add ``error_list``, the error records of each file in order."""
     fields = ["line_number", "severity", "code", "message", "recommended_action", "context"]
-    # The count goes along, spread over chunks, so no huge list is ever gathered.
-    pairs = errors.select("file_path", "chunk").distinct().join(few, "file_path")
-    lists = (
-        errors.join(pairs, ["file_path", "chunk"])
-        .groupBy("file_path")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("error_list"))
+    lists = errors.groupBy("file_path").agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("error_list")
     )
+    none = F.array().cast(lists.schema["error_list"].dataType)
     return summary.join(lists, "file_path", "left").withColumn(
-        "error_list",
-        F.when(F.col("errors") == 0, F.array().cast(lists.schema["error_list"].dataType))
-        .otherwise(F.col("error_list")),
+        "error_list", F.coalesce("error_list", none)
     )
 
 

@@ -8,10 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sessionlake.operators.chunks import with_running_totals
-from sessionlake.schemas import TABLES, schema_of
+from sessionlake.schemas import EXTRA_TABLES, TABLES, schema_of
 from sessionlake.session import stage
 
 BUCKETS = 256
+ALL_TABLES = (*TABLES, *EXTRA_TABLES)
 
 
 class CopyRefused(RuntimeError):
@@ -30,9 +31,9 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
     )
 
 
-def write_table(frame: DataFrame, base: str, table: str, mode: str = "errorifexists") -> None:
-    """Write a table as Parquet."""
-    conform(frame, table).write.mode(mode).parquet(f"{base}/{table}")
+def write_table(frame: DataFrame, base: str, table: str, mode: str = "append") -> None:
+    """Write a table as Parquet in the one layout all stored tables have."""
+    write_buckets(conform(frame, table), base, table, mode)
 
 
 def write_buckets(frame: DataFrame, base: str, table: str, mode: str) -> None:
@@ -84,10 +85,11 @@ def replace_files(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame
     duplicates; manual redactions are kept. Only the old side of the anti join may
     be large, and its key is spread by AQE when one file dominates.
     """
+    salts = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = files.select(
-        "file_path", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")
+        "file_path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
-    spread = F.pmod(F.xxhash64(*old.columns), F.lit(16)).cast("int")
+    spread = F.pmod(F.xxhash64(*old.columns), F.lit(salts)).cast("int")
     kept = (
         old.withColumn("_salt", spread)
         .join(salted, ["file_path", "_salt"], "left_anti")
@@ -149,7 +151,7 @@ def max_ids(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def dry_run(
-    spark: SparkSession, source: str, target: str, tables: Iterable[str] = tuple(TABLES)
+    spark: SparkSession, source: str, target: str, tables: Iterable[str] = ALL_TABLES
 ) -> DataFrame:
     """Source and target counts per table; a missing table counts zero."""
     names = list(tables)
@@ -159,7 +161,7 @@ def dry_run(
 
 
 def copy_tables(
-    spark: SparkSession, source: str, target: str, tables: Iterable[str] = tuple(TABLES)
+    spark: SparkSession, source: str, target: str, tables: Iterable[str] = ALL_TABLES
 ) -> DataFrame:
     """Copy all tables to an empty target and compare the counts afterwards."""
     names = list(tables)
@@ -171,7 +173,7 @@ def copy_tables(
             f"Target is not empty. Clear data before migrating. ({details})"
         )
     for name in names:
-        write_table(read_table(spark, source, name), target, name, mode="overwrite")
+        write_table(read_table(spark, source, name), target, name)
     after = dry_run(spark, source, target, names)
     wrong = after.where("source_rows <> target_rows").collect()
     if wrong:

@@ -7,22 +7,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sessionlake.functions.json_rules import redact_json
 from sessionlake.functions.rules import Rule
 from sessionlake.operators import (
     calls,
     chunks,
     events,
     extract,
+    redactions,
     rule_pass,
     sessions,
     summary,
     tables,
 )
 from sessionlake.schemas import EXTRA_TABLES, TABLES
-from sessionlake.session import stage
+from sessionlake.session import remove_folder, stage, staging_folder
 from sessionlake.sources import discovery, jsonl
-
-REDACTED_TABLES = [*rule_pass.USER_TEXT, *rule_pass.AGENT_TEXT]
+from sessionlake.sources.paths import escape_path
 
 
 class IngestFailed(ValueError):
@@ -62,18 +63,28 @@ def build(
     files: DataFrame,
     on_bad_file: str = "fail",
     rules: Iterable[Rule] = (),
+    fields: dict[str, list[str]] | None = None,
+    manual: DataFrame | None = None,
+    folder: str | None = None,
 ) -> Ingested:
-    """All tables of the given lines.
+    """All tables of the given lines.
 
-    Parsed lines are written once before and once after numbering, and every table
-    reads from there with its own columns. Bad files are left out of all tables:
+    Parsed lines are written until they are numbered; every table reads the numbered
+    ones from ``folder`` with its own columns. Bad files are left out of all tables:
     with 'quarantine' only those, with 'fail' also all files after the first one.
+    Rules come first, message before template, then the ``manual`` redactions.
+    ``fields`` gives the columns ("table.column") of each field rule.
     """
+    rules = list(rules)
+    rule_pass.check_fields(rules, fields or {})
     if on_bad_file not in ("fail", "quarantine"):
         raise ValueError(f"on_bad_file must be 'fail' or 'quarantine', not {on_bad_file!r}")
-    parsed = stage(events.parse_lines(lines), "parsed")
-    numbered = stage(events.number_and_group(parsed), "grouped")
-    failed = stage(failed_files(numbered), "failed")
+    spark = lines.sparkSession
+    before = staging_folder(spark)
+    parsed = stage(events.parse_lines(lines), "parsed", before)
+    numbered = stage(events.number_and_group(parsed), "grouped", folder)
+    remove_folder(spark, before)
+    failed = stage(failed_files(numbered), "failed", folder)
     worst = discovery.first_files(failed, 1).first()
     grouped, kept = numbered, files
     if worst is not None:
@@ -98,18 +109,50 @@ def build(
         "prelude_parts": parts,
         "ingest_errors": errors,
     }
-    found = None
-    rules = list(rules)
+    counted = summary.with_error_lists(
+        summary.summaries(grouped, calls.match_calls(grouped), kept, errors), errors
+    )
+    redacted: list[rule_pass.Redacted] = []
     if rules:
-        redacted = {
-            name: rule_pass.redact_table(built[name], name, rules)
-            for name in REDACTED_TABLES
-        }
-        found = rule_pass.rule_totals(redacted.values())
-        built |= {name: frame.drop("rule_counts") for name, frame in redacted.items()}
-    counted = summary.summaries(grouped, calls.match_calls(grouped), kept, errors)
+        told = rule_pass.redact_prompts(extract.messages(grouped), rules, fields)
+        redacted.append(told)
+        built["prompts"] = told.plain()
+        named = {c.split(".")[0] for columns in (fields or {}).values() for c in columns}
+        for name in (set(rule_pass.AGENT_TEXT) | named) & set(built) - {"prompts"}:
+            done = rule_pass.redact_table(built[name], name, rules, fields)
+            redacted.append(done)
+            built[name] = done.plain()
+        everywhere = [rule for rule in rules if rule.enabled and rule.scope == "global"]
+        for name, columns in rule_pass.RAW_JSON.items() if everywhere else ():
+            built[name] = built[name].withColumns(
+                {c: redact_json(F.col(c), everywhere) for c in columns}
+            )
+        if everywhere:
+            built["sessions"] = sessions.sessions(grouped, kept, built["prelude_parts"])
+    if manual is not None:
+        text = rule_pass.USER_TEXT["prompts"]
+        built["prompts"] = redactions.apply_manual(built["prompts"], manual, text)
+    found = rule_pass.rule_matches(redacted, "file_path")
+    if found is not None:
+        found = stage(found, "rule_matches", folder)
+    counted = _with_rule_counts(counted, found)
     failure = worst.reason if worst is not None and on_bad_file == "fail" else None
-    return Ingested(built, counted, failed, failure, found)
+    totals = None
+    if found is not None:
+        totals = found.groupBy("rule_id").agg(F.sum("matches").alias("matches"))
+    return Ingested(built, counted, failed, failure, totals)
+
+
+def _with_rule_counts(counted: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Summary rows with ``rule_counts``, the matches of each rule in the file."""
+    none = F.create_map().cast("map<string,bigint>")
+    if found is None:
+        return counted.withColumn("rule_counts", none)
+    maps = found.groupBy("file_path").agg(
+        F.map_from_entries(F.collect_list(F.struct("rule_id", "matches"))).alias("rule_counts")
+    )
+    joined = counted.join(maps, "file_path", "left")
+    return joined.withColumn("rule_counts", F.coalesce("rule_counts", none))
 
 
 def ingest_directory(
@@ -119,11 +162,14 @@ def ingest_directory(
     limit: int | None = None,
     on_bad_file: str = "fail",
     rules: Iterable[Rule] = (),
+    fields: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Ingest the session files below ``root`` into the tables at ``base``.
 
-    Gives the summary per file. Files ingested before are replaced. With 'fail' the
-    files before the first bad one are stored, then IngestFailed is raised.
+    Gives the summary per file: counts, error list and matches of each rule. Files
+    ingested before are replaced. The manual redactions stored at ``base`` hold for
+    the new rows. With 'fail' the files before the first bad one are stored, then
+    IngestFailed is raised.
     """
     files = discovery.session_files(spark, root)
     if limit is not None:
@@ -131,18 +177,43 @@ def ingest_directory(
     if files.isEmpty():
         raise discovery.NoSessionsFound(f"No session files found under {root}")
     lines = jsonl.read_lines(spark, root, limit)
-    return store(spark, build(lines, files, on_bad_file, rules), base)
+    return run(spark, lines, files, base, on_bad_file, rules, fields)
 
 
 def ingest_file(
-    spark: SparkSession, path: str, base: str, rules: Iterable[Rule] = ()
+    spark: SparkSession,
+    path: str,
+    base: str,
+    rules: Iterable[Rule] = (),
+    fields: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Ingest one explicitly named file."""
-    listed = spark.read.format("binaryFile").load(path)
-    files = listed.select(
-        discovery.readable_path(F.col("_metadata.file_path")).alias("file_path")
+    """Ingest one explicitly named file; an empty one has a session all the same."""
+    named = spark.read.format("binaryFile").load(escape_path(path)).inputFiles()
+    files = spark.createDataFrame([(uri,) for uri in named], "uri string").select(
+        discovery.readable_path(F.col("uri")).alias("file_path")
     )
-    return store(spark, build(jsonl.read_file(spark, path), files, "fail", rules), base)
+    return run(spark, jsonl.read_file(spark, path), files, base, "fail", rules, fields)
+
+
+def run(
+    spark: SparkSession,
+    lines: DataFrame,
+    files: DataFrame,
+    base: str,
+    on_bad_file: str,
+    rules: Iterable[Rule] = (),
+    fields: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """Build and store the tables of some lines; staged tables go when they are read."""
+    folder = staging_folder(spark)
+    manual = tables.read_table(spark, base, "redactions")
+    if manual.isEmpty():
+        manual = None
+    built = build(lines, files, on_bad_file, rules, fields, manual, folder)
+    try:
+        return store(spark, built, base)
+    finally:
+        remove_folder(spark, folder)
 
 
 def store(spark: SparkSession, result: Ingested, base: str) -> DataFrame:
@@ -157,28 +228,32 @@ def store(spark: SparkSession, result: Ingested, base: str) -> DataFrame:
 def store_tables(spark: SparkSession, built: dict[str, DataFrame], base: str) -> None:
     """Add the rows of the ingested files to the stored tables.
 
-    Files seen for the first time are appended. When a file was stored before, the
-    folders (a hash of the file) that hold files of this ingest are rewritten
-    without its old rows. The files table is written first: an ingest that is lost
-    half way and run again finds its files known, and replaces what it left.
+    Rows are appended, but for the folders (a hash of the file) that hold a file
+    stored before: these are rewritten without its old rows. The files table is
+    written first: an ingest that is lost half way and run again finds its files
+    known, and replaces what it left.
     """
-    files = stage(built["files"].select("file_path"), "new_files")
+    folder = staging_folder(spark)
+    files = stage(built["files"].select("file_path"), "new_files", folder)
     stored = tables.read_table(spark, base, "files")
-    known = stored.join(files, "file_path", "left_semi")
-    buckets = None
-    if not known.isEmpty():
-        touched = files.select(tables.file_bucket()).distinct()
-        buckets = [row.bucket for row in touched.collect()]  # BUCKETS values at most
+    known = stored.join(files, "file_path", "left_semi").select(tables.file_bucket()).distinct()
+    buckets = [row.bucket for row in known.collect()]  # BUCKETS values at most
+    in_known = tables.file_bucket().isin(buckets) if buckets else F.lit(False)
     for name in [*TABLES, *EXTRA_TABLES]:
         if name not in built:
             continue
         fresh = tables.conform(built[name], name)
-        if buckets is None:
+        if not buckets:
             tables.write_buckets(fresh, base, name, "append")
             continue
+        fresh = stage(fresh, f"fresh_{name}", folder)
         old = tables.read_table(spark, base, name, buckets)
         # Staged first: the rows are read from the folders they will replace.
-        merged = stage(tables.replace_files(old, fresh, files), f"new_{name}")
+        merged = stage(
+            tables.replace_files(old, fresh.where(in_known), files), f"merged_{name}", folder
+        )
         tables.write_buckets(merged, base, name, "overwrite")
         left = merged.select(tables.file_bucket()).distinct()
         tables.drop_buckets(spark, base, name, set(buckets) - {r.bucket for r in left.collect()})
+        tables.write_buckets(fresh.where(~in_known), base, name, "append")
+    remove_folder(spark, folder)

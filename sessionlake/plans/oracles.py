@@ -339,6 +339,7 @@ t0 AS (
     || '-abcdef [redact' || chr(10) || 'pw' || CASE WHEN doc_id % 2 = 0 THEN '=1' ELSE '' END
     || '] see C:\\dir\\' || doc_id || ' and [long note of ' || doc_id || '] in /var/log/'
     || doc_id AS t FROM documents)"""
+# The patterns of the default rules.
 _PATTERNS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "i"),
     "bearer_token": (r"bearer\s+[A-Za-z0-9._-]{8,}", "i"),
@@ -518,17 +519,22 @@ SELECT file_path, row_number() OVER (ORDER BY file_path) AS file_id
 FROM (SELECT DISTINCT 'user-' || user_id AS file_path FROM events)
 """
 _COPIED = {
-    "prompts": "event_type = 'signup'",
-    "token_messages": f"{_MEMBERS} AND payload_type = 'token_count'",
-    "events": f"{_MEMBERS} AND log_type = 'event_msg'",
+    "files": "SELECT DISTINCT user_id FROM events",
+    "sessions": "SELECT DISTINCT user_id FROM events",
+    "prompts": f"WITH {_ACT} SELECT * FROM act WHERE event_type = 'signup'",
+    "redactions": f"WITH {_REQUESTS} SELECT * FROM redaction",
+    **{
+        name: ORACLES[name]
+        for name in (
+            "token_messages turn_context_messages agent_reasoning_messages "
+            "function_plan_messages function_calls"
+        ).split()
+    },
+    "events": ORACLES["base_events"],
 }
-ORACLES["table_copy"] = f"WITH {_ACT} " + " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS target_rows "
-    f"FROM act WHERE {_COPIED.get(t, 'false')}"
-    for t in (
-        "files sessions prompts redactions token_messages turn_context_messages "
-        "agent_reasoning_messages function_plan_messages function_calls events"
-    ).split()
+ORACLES["table_copy"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS source_rows, count(*) AS target_rows FROM ({rows})"
+    for t, rows in _COPIED.items()
 )
 
 
@@ -684,3 +690,29 @@ WITH {_STRICT} SELECT file_path, seq, timestamp_text,
   session_id, CASE WHEN kind LIKE 'tool%' THEN 'tool' || (conv_id % 3) ELSE text END AS body
 FROM good
 """
+
+ORACLES["rule_records"] = """
+WITH r AS (
+  SELECT CAST(doc_id AS INTEGER) AS position, doc_id AS d,
+    CASE WHEN doc_id % 13 <> 0 THEN 'r' || doc_id % 400 END AS id,
+    CASE WHEN doc_id % 17 <> 0 THEN CASE doc_id % 4 WHEN 0 THEN 'regex' WHEN 1 THEN 'literal'
+      WHEN 2 THEN 'marker' ELSE 'glob' END END AS type,
+    CASE WHEN doc_id % 19 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(9)
+      ELSE CAST(doc_id AS VARCHAR) END END AS pattern,
+    CASE WHEN doc_id % 3 = 0 THEN 'global' WHEN doc_id % 3 = 2 THEN 'field'
+      WHEN doc_id % 2 = 0 THEN 'page' ELSE 'prompt' END AS scope,
+    CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS replacement,
+    doc_id % 6 NOT IN (0, 1) AS enabled,
+    CASE WHEN doc_id % 2 = 1 THEN trim('why ' || source) END AS reason,
+    nullif(trim(lang), '') AS actor, doc_id % 5 <> 1 AS ignore_case, doc_id % 5 = 2 AS dotall
+  FROM documents)
+SELECT * EXCLUDE (d), CASE
+  WHEN id IS NULL THEN 'Missing key ''id''.' WHEN type IS NULL THEN 'Missing key ''type''.'
+  WHEN pattern IS NULL THEN 'Missing key ''pattern''.'
+  WHEN type = 'glob' THEN 'Unknown type ''glob''.'
+  WHEN d % 5 = 0 THEN 'The pattern is empty.'
+  WHEN scope = 'page' THEN 'Unknown scope ''page''.'
+  WHEN row_number() OVER (PARTITION BY id ORDER BY position) > 1
+    THEN concat('Repeated id ', chr(39), id, chr(39), '.') END AS error
+FROM r
+"""

@@ -502,7 +502,7 @@ def literal_rules(spark, sf_dir):
     marked = _documents(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("(the. "), F.col("text")).alias("text")
     )
-    done = rules.with_rules(marked, "text", rules.rules_from(_LITERALS))
+    done = rules.with_rules(marked, "text", rules.make_rules(spark, _LITERALS))
     return done.select("doc_id", "redacted", F.explode("rule_counts").alias("rule_id", "n"))
 
 
@@ -530,7 +530,7 @@ def rule_totals(spark, sf_dir):
     field_rules = [
         {"id": "vowels", "type": "regex", "pattern": "[aeiou]{3}", "scope": "field"},
     ]
-    active = rules.DEFAULT_RULES + rules.rules_from(field_rules)
+    active = rules.DEFAULT_RULES + rules.make_rules(spark, field_rules)
     fields = {"vowels": ["agent_reasoning_messages.text"]}
     return rule_pass.rule_totals(
         [
@@ -545,6 +545,29 @@ def rule_totals(spark, sf_dir):
     )
 
 
+@query
+def rule_records(spark, sf_dir):
+    """One rule record per document, every flaw among them, with its error."""
+    d = F.col("doc_id")
+    text = d.cast("string")
+    kinds = F.element_at(F.array(*map(F.lit, ("Regex", "literal", "MARKER", "glob"))), (d % 4 + 1).cast("int"))
+    scope = F.when(d % 3 == 0, "global").when(d % 3 == 2, "field").when(d % 2 == 0, "page")
+    records = _documents(spark, sf_dir).select(
+        d.cast("int").alias("position"),
+        F.when(d % 13 != 0, F.concat(F.lit("r"), (d % 400).cast("string"))).alias("id"),
+        F.when(d % 17 != 0, kinds).alias("type"),
+        F.when(d % 19 != 0, F.when(d % 5 == 0, " \t").otherwise(text)).alias("pattern"),
+        scope.alias("scope"),
+        F.when(d % 2 == 0, text).alias("replacement"),
+        F.when(d % 6 == 0, "false").when(d % 6 == 1, "0").when(d % 6 == 2, "true").alias("enabled"),
+        F.when(d % 2 == 0, " ").otherwise(F.concat(F.lit(" why "), F.col("source"))).alias("reason"),
+        F.col("lang").alias("actor"),
+        F.when(d % 5 == 1, "").alias("ignore_case"),
+        F.when(d % 5 == 2, "yes").alias("dotall"),
+    )
+    return rules.check_rules(records)
+
+
 # --- manual redactions -------------------------------------------------------
 
 
@@ -732,10 +755,22 @@ def table_copy(spark, sf_dir):
     """Log tables written, copied to an empty target and counted on both sides."""
     base = f"{staging_root(spark)}/sessionlake/copy-{uuid.uuid4().hex}"
     grouped = stage(_activity(spark, sf_dir), "grouped")
-    tables.write_table(extract.prompts(grouped), f"{base}/source", "prompts")
-    tables.write_table(extract.token_messages(grouped), f"{base}/source", "token_messages")
-    tables.write_table(extract.base_events(grouped), f"{base}/source", "events")
-    return tables.copy_tables(spark, f"{base}/source", f"{base}/target")
+    files = _activity_files(spark, sf_dir)
+    built = {
+        "files": files.withColumn("ingested_at", F.lit(None)),
+        "sessions": sessions.sessions(grouped, files),
+        "prompts": extract.prompts(grouped),
+        "token_messages": extract.token_messages(grouped),
+        "turn_context_messages": extract.turn_context_messages(grouped),
+        "agent_reasoning_messages": extract.agent_reasoning_messages(grouped),
+        "function_plan_messages": extract.function_plan_messages(grouped),
+        "function_calls": calls.function_calls(grouped),
+        "events": extract.base_events(grouped),
+        "redactions": _redaction_table(spark, sf_dir),
+    }
+    for name, frame in built.items():
+        tables.write_table(frame, f"{base}/source", name)
+    return tables.copy_tables(spark, f"{base}/source", f"{base}/target", built)
 
 
 # --- report ------------------------------------------------------------------

@@ -28,14 +28,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 _own_folders: dict[str, str] = {}
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster names no folder that all its machines share."""
+
+
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is set.
+    """Shared folder named by the cluster; one of our own only in local mode.
 
     The setting cannot be changed in a running session, so an own folder is kept
-    per application.
+    per application. On a cluster every machine would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder("spark.checkpoint.dir names no folder that executors share")
         application = spark.sparkContext.applicationId
         if application not in _own_folders:
             _own_folders[application] = tempfile.mkdtemp(prefix="sessionlake-")
@@ -43,13 +49,24 @@ def staging_root(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
+def staging_folder(spark: SparkSession) -> str:
+    """A new folder for the tables of one run; see ``remove_folder``."""
+    return f"{staging_root(spark)}/sessionlake/{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove staged tables once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(frame: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``frame`` to the staging folder and read it back.
 
     A written table cuts the lineage, survives lost executors and, unlike a
     checkpointed RDD, keeps column pruning and filter pushdown for its readers.
     """
     spark = frame.sparkSession
-    path = f"{staging_root(spark)}/sessionlake/{uuid.uuid4().hex}/{name}"
+    path = f"{folder or staging_folder(spark)}/{name}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

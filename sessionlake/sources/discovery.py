@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A list of this many paths is still a small thing to hand to the reader.
-MAX_LISTED_FILES = 10_000
+from sessionlake.sources.paths import escape_path, escaped
 
 
 class NoSessionsFound(RuntimeError):
@@ -32,7 +31,7 @@ def at_session_depth(path: Column, root: str) -> Column:
 
 
 def session_glob(root: str) -> str:
-    return root.rstrip("/") + "/*/*/*/*"
+    return escape_path(root.rstrip("/")) + "/*/*/*/*"
 
 
 def discovery_order(path: Column | None = None) -> Column:
@@ -64,8 +63,7 @@ def session_files(
         filled = filled.unionByName(
             empty.select("uri", F.lit(0).cast("bigint").alias("length"))
         )
-    # A path handed back to a reader is a pattern: its special characters are escaped.
-    pattern = F.regexp_replace(_decoded(F.col("uri")), r"([\\{}\[\]*?])", r"\\$1")
+    pattern = escaped(_decoded(F.col("uri")))
     return filled.select(
         readable_path(F.col("uri")).alias("file_path"), pattern.alias("pattern"), "length"
     ).where(at_session_depth(F.col("file_path"), root))

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlake.sources import discovery
+from sessionlake.sources.paths import escape_path
 
 
 def _positions(scan: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def read_lines(
     """Lines of all session files below ``root`` or of the first ``limit`` files.
 
     Columns: file_path, chunk (start of the split), pos (order inside the split),
-    line. A small limit prunes the scan itself: only those files are opened.
+    line. A limit prunes the scan to the days that hold those files.
     """
     if limit is None:
         try:
@@ -40,16 +41,16 @@ def read_lines(
     if limit < 0:
         raise ValueError("limit must not be negative")
     wanted = discovery.first_files(discovery.session_files(spark, root), limit)
-    if limit > discovery.MAX_LISTED_FILES:
-        return of_files(read_lines(spark, root), wanted)
-    patterns = [row.pattern for row in wanted.select("pattern").collect()]
-    if not patterns:
+    day = F.regexp_replace("pattern", r"/[^/]*\z", "")
+    days = [row.day for row in wanted.select(day.alias("day")).distinct().collect()]
+    if not days:
         raise discovery.NoSessionsFound(f"No session files found under {root}")
-    return _positions(spark.read.text(patterns))
+    return of_files(_positions(spark.read.text([f"{day}/*" for day in days])), wanted)
 
 
-def of_files(lines: DataFrame, files: DataFrame, salts: int = 64) -> DataFrame:
-    """Lines of the listed files; a huge file is spread over ``salts`` keys."""
+def of_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines of the listed files; a huge file is spread over as many keys as a shuffle has."""
+    salts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = files.select(
         "file_path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
@@ -62,4 +63,4 @@ def of_files(lines: DataFrame, files: DataFrame, salts: int = 64) -> DataFrame:
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one explicitly named session file."""
-    return _positions(spark.read.text(path))
+    return _positions(spark.read.text(escape_path(path)))

@@ -19,13 +19,15 @@ def follow_directory(
     checkpoint: str,
     files_per_batch: int = 1000,
     rules: Iterable[Rule] = (),
+    fields: dict[str, list[str]] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
     """Ingest session files as they appear below ``root``.
 
     A file comes as a whole in one batch, and its rows replace those of an earlier
     run, so a batch that is repeated after a failure changes nothing. Bad files are
-    left out (see ``ingest.build``). ``once`` handles what is there and stops.
+    left out (see ``ingest.build``). ``once`` handles what is there and stops. A file
+    is read when it is first seen; one that grows later needs ``ingest_file``.
     """
     rules = list(rules)
     lines = (
@@ -43,8 +45,7 @@ def follow_directory(
     def one_batch(batch: DataFrame, _: int) -> None:
         placed = batch.withColumn("pos", F.monotonically_increasing_id())
         files = batch.select("file_path").distinct()
-        built = ingest.build(placed, files, "quarantine", rules)
-        ingest.store(batch.sparkSession, built, base)
+        ingest.run(batch.sparkSession, placed, files, base, "quarantine", rules, fields)
 
     writer = lines.writeStream.foreachBatch(one_batch).option(
         "checkpointLocation", checkpoint

@@ -117,7 +117,7 @@ def test_prompt_template(spark):
 
 def run_rules(spark, value, entries):
     frame = spark.createDataFrame([(value,)], "v string")
-    row = rules.with_rules(frame, "v", rules.rules_from(entries)).first()
+    row = rules.with_rules(frame, "v", rules.make_rules(spark, entries)).first()
     return row.redacted, row.rule_counts
 
 
@@ -165,16 +165,20 @@ def test_rules_see_earlier_results(spark):
         [{"id": "a", "type": "regex", "pattern": "x"}] * 2,
     ],
 )
-def test_bad_rules(entries):
+def test_bad_rules(spark, entries):
     with pytest.raises(rules.RuleError):
-        rules.rules_from(entries)
+        rules.make_rules(spark, entries)
 
 
-def test_bad_pattern_fails_at_load():
-    import re
+@pytest.mark.parametrize("pattern", ["(", "a)", "(?(1)a)", "x{2}{3}"])
+def test_bad_pattern_fails_at_load(spark, pattern):
+    with pytest.raises(rules.RuleError):
+        rules.make_rules(spark, [{"id": "a", "type": "regex", "pattern": pattern}])
+
 
-    with pytest.raises(re.error):
-        rules.rules_from([{"id": "a", "type": "regex", "pattern": "("}])
+def test_repeat_without_a_lower_bound(spark):
+    entries = [{"id": "a", "type": "regex", "pattern": "ba{,2}c"}]
+    assert run_rules(spark, "bc bac baaac", entries) == ("<REDACTED> <REDACTED> baaac", {"a": 2})
 
 
 def test_load_rules_from_file(spark, tmp_path):

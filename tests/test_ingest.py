@@ -59,8 +59,8 @@ def test_two_sessions(spark, log_root, tmp_path):
     base = str(tmp_path / "tables")
     summary = ingest.ingest_directory(spark, root, base)
     got = {r.file_path.rsplit("/", 1)[1]: r for r in summary.collect()}
-    assert got["b.jsonl"][1:] == (1, 1, 0, 2, 0, 1, 0)
-    assert got["a.jsonl"][1:] == (1, 1, 0, 1, 0, 0, 0)
+    assert got["b.jsonl"][1:] == (1, 1, 0, 2, 0, 1, 0, [], {})
+    assert got["a.jsonl"][1:] == (1, 1, 0, 1, 0, 0, 0, [], {})
 
     def table(name):
         return tables.read_table(spark, base, name).orderBy("file_path", *(
@@ -218,6 +218,120 @@ def test_rules_at_ingest(spark, log_root, tmp_path):
     assert tables.read_table(spark, base, "function_calls").first().arguments == "cat <REDACTED>"
 
 
+def test_redaction_leaves_no_copy_of_the_text(spark, log_root, tmp_path):
+    """Template parts, stored events, preludes; field rules; counts; manual redactions."""
+    from sessionlake.functions.rules import DEFAULT_RULES, RuleError, make_rules
+
+    request = "# Context\n## My request for Codex:\nsay [redact hunter22pw] to me@x.org"
+    root = log_root(
+        {
+            "2025/1/1/a.jsonl": [
+                event("session_meta", {"id": "s", "note": "me@x.org"}),
+                "7",
+                msg("user_message", message=request),
+                msg("agent_reasoning", text="topsecret plan of me@x.org"),
+                item("function_call", name="shell", call_id="c", arguments='{"to": "me@x.org"}'),
+                item("function_call_output", call_id="c", output="sent to me@x.org"),
+                msg("user_message", message="second me@x.org"),
+            ]
+        }
+    )
+    base = str(tmp_path / "t")
+    extra = make_rules(spark, [{"id": "top", "type": "literal", "pattern": "topsecret", "scope": "field"}])
+    rules = [*DEFAULT_RULES, *extra]
+    with pytest.raises(RuleError, match="top"):
+        ingest.ingest_directory(spark, root, base, rules=rules)
+    manual = spark.createDataFrame(
+        [(1, f"{root}/2025/1/1/a.jsonl", 2, "prompt", None, "<hidden>", None, None, None, None)],
+        tables.schema_of("redactions"),
+    )
+    tables.write_table(manual, base, "redactions")
+    fields = {"top": ["agent_reasoning_messages.text"]}
+    (row,) = ingest.ingest_directory(spark, root, base, rules=rules, fields=fields).collect()
+    assert row.rule_counts["top"] == 1 and row.rule_counts["email"] >= 4
+    assert row.rule_counts["bracketed_troubleshooting"] == 1 and [e.line_number for e in row.error_list] == [2]
+    text = ""
+    for name in tables.ALL_TABLES:
+        for stored in tables.read_table(spark, base, name).collect():
+            text += json.dumps(stored.asDict(), default=str)
+    assert "me@x.org" not in text
+    prompts = tables.read_table(spark, base, "prompts").orderBy("prompt_index").collect()
+    assert prompts[0].my_request == "say <REDACTED> to <REDACTED>"
+    assert prompts[1].message == "<hidden>"
+    assert json.loads(prompts[0].raw_json)["payload"]["type"] == "user_message"
+    call = tables.read_table(spark, base, "function_calls").first()
+    assert json.loads(call.raw_call_json)["payload"]["name"] == "shell"
+
+
+def test_large_values_are_kept(spark, log_root, tmp_path):
+    """A prompt of 24 million characters, a prelude over 8 MiB, more than 1000 errors."""
+    long = "x " * 12_000_000
+    prelude = [event("session_meta", {"id": "s", "note": "y " * 1_500_000}) for _ in range(4)]
+    root = log_root(
+        {"2025/1/1/a.jsonl": [*prelude, *["5"] * 1200, msg("user_message", message=long), msg("x")]}
+    )
+    base = str(tmp_path / "t")
+    (row,) = ingest.ingest_directory(spark, root, base).collect()
+    assert (row.prompts, row.errors, len(row.error_list)) == (1, 1200, 1200)
+    assert tables.read_table(spark, base, "prompts").first().message == long
+    session = tables.read_table(spark, base, "sessions").first()
+    assert session.prelude_parts > 1 and len(json.loads(session.raw_json)["events"]) == 4
+    assert tables.read_table(spark, base, "events").count() == 1
+
+
+def test_a_copied_lake_can_be_ingested_into(spark, log_root, tmp_path):
+    root = log_root({"2025/1/1/a.jsonl": update_session(), "2025/1/1/b.jsonl": ["1", *small_session()]})
+    base, copied = str(tmp_path / "t"), str(tmp_path / "u")
+    ingest.ingest_directory(spark, root, base)
+    counts = tables.copy_tables(spark, base, copied).collect()
+    assert {r.table_name for r in counts} == set(tables.ALL_TABLES)
+
+    def content(at):
+        return {
+            name: sorted(map(repr, tables.read_table(spark, at, name).drop("ingested_at").collect()))
+            for name in tables.ALL_TABLES
+        }
+
+    assert content(base) == content(copied)
+    log_root({"2025/1/1/c.jsonl": small_session(), "2025/1/1/b.jsonl": small_session()})
+    for name in ("c", "b"):
+        for at in (base, copied):
+            ingest.ingest_file(spark, f"{root}/2025/1/1/{name}.jsonl", at)
+    assert content(base) == content(copied)
+    assert len(content(copied)["files"]) == 3 and len(content(copied)["prompts"]) == 3
+    with pytest.raises(tables.CopyRefused):
+        tables.copy_tables(spark, base, copied)
+
+
+def test_reingest_rewrites_only_folders_of_known_files(spark, log_root, tmp_path):
+    days = {f"2025/1/1/{n}.jsonl": small_session() for n in range(6)}
+    root = log_root(days)
+    base = tmp_path / "t"
+    ingest.ingest_directory(spark, root, str(base))
+
+    def written():
+        return {p: p.stat().st_mtime_ns for p in (base / "events").rglob("part-*")}
+
+    before = written()
+    log_root({"2025/1/2/new.jsonl": small_session()})
+    old = f"{root}/2025/1/1/3.jsonl"
+    lines = jsonl.read_file(spark, old).unionByName(jsonl.read_file(spark, f"{root}/2025/1/2/new.jsonl"))
+    files = lines.select("file_path").distinct()
+    ingest.run(spark, lines, files, str(base), "fail")
+    bucket = spark.createDataFrame([(old,)], "file_path string").select(tables.file_bucket()).first()[0]
+    gone = {p for p in before if p not in written()}
+    assert gone and all(p.parent.name == f"bucket={bucket}" for p in gone)
+    assert tables.read_table(spark, str(base), "events").count() == 14
+
+
+def test_empty_named_file_and_special_names(spark, log_root, tmp_path):
+    root = log_root({"2025/1/1/a[1]{x}?.jsonl": "", "2025/1/1/b*[2].jsonl": small_session()})
+    base = str(tmp_path / "t")
+    assert ingest.ingest_file(spark, f"{root}/2025/1/1/a[1]{{x}}?.jsonl", base).count() == 1
+    assert ingest.ingest_file(spark, f"{root}/2025/1/1/b*[2].jsonl", base).first().prompts == 1
+    assert tables.read_table(spark, base, "sessions").count() == 2
+
+
 def test_empty_file_keeps_its_session(spark, log_root, tmp_path):
     root = log_root({"2025/1/1/empty.jsonl": "", "2025/1/1/one.jsonl": small_session()})
     base = str(tmp_path / "t")

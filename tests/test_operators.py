@@ -111,7 +111,7 @@ def test_long_preludes_stay_whole_in_parts(spark):
     assert [e["payload"]["n"] for e in document] == list(range(200))
     rows = sessions.sessions(grouped, files(spark, "a", "b"), parts).orderBy("file_path")
     a, b = rows.collect()
-    assert a.raw_json is None and a.prelude_parts == len(texts)
+    assert a.prelude_parts == len(texts) and json.loads(a.raw_json)["events"] == document
     assert json.loads(b.raw_json)["events"][0]["payload"] == {"type": "y"}
 
 
@@ -268,7 +268,9 @@ def test_redaction_table(spark):
 
 def test_manual_redactions_override_rules(spark):
     grouped = log(spark, {"f": [msg("user_message", message=f"me@x.org {n}") for n in range(4)]})
-    redacted = rule_pass.redact_table(extract.prompts(grouped), "prompts", rules.DEFAULT_RULES)
+    redacted = rule_pass.redact_table(
+        extract.prompts(grouped), "prompts", rules.DEFAULT_RULES
+    ).with_map()
     table = table_of(
         spark,
         [
@@ -300,9 +302,10 @@ def test_error_lists_and_preview(spark):
     assert [r.text for r in preview.collect()] == ["errors: 4", line, line, line, "  - ... 1 more"]
     calls = spark.createDataFrame([], "file_path string")
     counted = summary.summaries(grouped, calls, files(spark, "f", "g", "h"), errors)
-    listed = summary.with_error_lists(counted, errors, inline=3).orderBy("file_path")
+    listed = summary.with_error_lists(counted, errors).orderBy("file_path")
     found = {r.file_path: (r.prompts, r.errors, r.error_list) for r in listed.collect()}
-    assert found["f"] == (1, 4, None) and found["g"] == (1, 0, [])
+    assert found["f"][:2] == (1, 4) and found["g"] == (1, 0, [])
+    assert [e.line_number for e in found["f"][2]] == [1, 2, 3, 4]
     assert found["h"][1] == 1 and found["h"][2][0].line_number == 1
     total = summary.totals(counted).first()
     assert (total.files_processed, total.prompts, total.errors) == (3, 2, 5)
