@@ -40,16 +40,23 @@ def _distinct(column: pa.Array):
     """Distinct lower-case words of slices of a column, and where they stand."""
     data, offsets = utf8(column)
     table = byte_class(digits=False)
-    for low, high in slices(offsets, 1 << 23):
-        part = data[offsets[low] : offsets[high]]
-        found = find_words(part, offsets[low : high + 1] - offsets[low], table)
-        _, first, place = np.unique(found.hashes, return_index=True, return_inverse=True)
-        text = part.tobytes()
-        names = [
-            text[a:b].decode("utf-8").lower()
-            for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist())
-        ]
-        yield low, high, names, place, found.rows
+    for low, high in slices(offsets, 1 << 22):
+        starts, ends, rows, hashes = [], [], [], []
+        # Words are found in smaller steps, whose temporary arrays are large.
+        for a, b in slices(offsets[low : high + 1], 1 << 20):
+            begin = offsets[low + a]
+            part = data[begin : offsets[low + b]]
+            found = find_words(part, offsets[low + a : low + b + 1] - begin, table)
+            starts.append(found.starts + begin)
+            ends.append(found.ends + begin)
+            rows.append(found.rows + a)
+            hashes.append(found.hashes)
+        _, first, place = np.unique(
+            np.concatenate(hashes), return_index=True, return_inverse=True
+        )
+        spans = zip(np.concatenate(starts)[first].tolist(), np.concatenate(ends)[first].tolist())
+        names = [data[a:b].tobytes().decode("utf-8").lower() for a, b in spans]
+        yield low, high, names, place, np.concatenate(rows)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
