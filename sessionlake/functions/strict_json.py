@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from sessionlake.functions.text import REDACTED
+from sessionlake.functions.text import REDACTED, SECRET_MARKER, SECRET_PREFIXES
 
 # Keys whose content is always hidden (compared after case folding).
 SENSITIVE_KEYS = frozenset(
@@ -33,7 +33,6 @@ SENSITIVE_KEYS = frozenset(
         "token_secret",
     ]
 )
-_SECRET_HEAD = re.compile(r"bearer |[sr]k-|pk_|akia")
 _OPAQUE = re.compile(r"[\w\-=]{64,}")
 
 RESULT = StructType(
@@ -50,8 +49,8 @@ def _is_secret(text: str) -> bool:
     bare = text.strip()
     folded = bare.casefold()
     return bool(
-        _SECRET_HEAD.match(folded)
-        or "-----begin" in folded
+        folded.startswith(SECRET_PREFIXES)
+        or SECRET_MARKER in folded
         or _OPAQUE.fullmatch(bare)
     )
 

@@ -11,13 +11,22 @@ LINE_END = r"\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029"
 
 REDACTED = "[redacted]"
 
-# The prefixes "bearer ", "sk-", "rk-", "pk_", "akia" and the marker
-# "-----begin". The classes list every character whose case folding is the letter.
-_K = r"[kK\u212A]"
-_S = r"[sS\u017F]"
+# What secrets start with and what key blocks hold, case folded.
+SECRET_PREFIXES = ("bearer ", "sk-", "rk-", "pk_", "akia")
+SECRET_MARKER = "-----begin"
+
+
+def _any_case(folded: str) -> str:
+    """Pattern of all texts whose case folding is ``folded``."""
+    more = {"k": "\\u212A", "s": "\\u017F"}
+    return "".join(
+        f"[{c}{c.upper()}{more.get(c, '')}]" if c.isalpha() else c for c in folded
+    )
+
+
 SECRET_PATTERN = (
-    rf"\A(?:[bB][eE][aA][rR][eE][rR] |{_S}{_K}-|[rR]{_K}-|[pP]{_K}_|[aA]{_K}[iI][aA])"
-    r"|-----[bB][eE][gG][iI][nN]"
+    rf"\A(?:{'|'.join(map(_any_case, SECRET_PREFIXES))})"
+    rf"|{_any_case(SECRET_MARKER)}"
     r"|\A[\p{L}\p{N}\-_=]{64,}\z"
 )
 

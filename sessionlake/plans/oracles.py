@@ -400,6 +400,41 @@ counts AS (
 SELECT rule_id, CAST(sum(n) AS BIGINT) AS matches FROM counts GROUP BY rule_id HAVING sum(n) > 0
 """
 
+_SAID = "'key' || conv_id || ' ' || replace(text, chr(10), ' ')"
+_INGESTED = f"""
+{_TALK}, said AS (
+  SELECT file_path, conv_id, seq, prompt_index, stamp, role = 'user' AS asked,
+    CASE role WHEN 'user' THEN '## Active file: a' || conv_id || '.py' || chr(10)
+      || '## My request for Codex:' || chr(10) || {_SAID} || ' [redact pw' || conv_id || 'x] end'
+      ELSE {_SAID} || ' end' END AS t FROM talk),
+hidden AS (
+  SELECT *, regexp_replace(t, 'key[0-9]+', '<KEY>', 'gi') AS told FROM said),
+kept AS (
+  SELECT *, regexp_replace(told, '\\[redact [a-z0-9]+\\]', '<MARK>', 'gi') AS message,
+    '{{"type": "' || CASE WHEN asked THEN 'user_message", "message": ' ELSE 'agent_reasoning", "text": ' END
+      || CAST(to_json(told) AS VARCHAR) || '}}' AS data FROM hidden),
+whole AS (
+  SELECT *, '{{"timestamp": "' || stamp || '", "type": "event_msg", "payload": ' || data
+    || '}}' AS raw FROM kept),
+first AS (SELECT *, CASE WHEN prompt_index = 1 THEN conv_id % 5 END AS fifth FROM whole WHERE asked)"""
+ORACLES["ingest_redaction"] = f"""
+WITH {_INGESTED}
+SELECT file_path, seq AS place, 'prompts.message' AS stored,
+  CASE WHEN fifth = 0 THEN '<MANUAL>' ELSE message END AS text FROM first
+UNION ALL SELECT file_path, seq, 'prompts.active_file', '<FILE>' FROM first
+UNION ALL SELECT file_path, seq, 'prompts.my_request', CASE WHEN fifth = 1 THEN '<MINE>'
+  ELSE split_part(message, chr(10), 3) END FROM first
+UNION ALL SELECT file_path, seq, 'prompts.raw_json', raw FROM first
+UNION ALL SELECT file_path, seq, 'events.data', data FROM whole WHERE NOT asked AND prompt_index > 0
+UNION ALL SELECT file_path, seq, 'events.raw_json', raw FROM whole WHERE NOT asked AND prompt_index > 0
+UNION ALL SELECT file_path, seq, 'agent_reasoning_messages.text', told FROM whole
+  WHERE NOT asked AND prompt_index > 0
+UNION ALL SELECT file_path, seq, 'agent_reasoning_messages.raw_json', raw FROM whole
+  WHERE NOT asked AND prompt_index > 0
+UNION ALL SELECT file_path, 0, 'prelude_parts.events_json', string_agg(raw, ', ' ORDER BY seq)
+  FROM whole WHERE prompt_index = 0 GROUP BY file_path
+"""
+
 _REQUESTS = """
 requests AS (
   SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN 'conv-' || (doc_id % 100) END AS file_path,

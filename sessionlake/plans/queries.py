@@ -23,6 +23,7 @@ from sessionlake.operators import (
     summary,
     tables,
 )
+from sessionlake.plans import ingest
 from sessionlake.session import stage, staging_root
 from sessionlake.sources import adapters, discovery, jsonl
 
@@ -545,6 +546,77 @@ def rule_totals(spark, sf_dir):
     )
 
 
+_INGEST_RULES = [
+    {"id": "keys", "type": "regex", "pattern": "key[0-9]+", "replacement": "<KEY>",
+     "scope": "global"},
+    {"id": "marker", "type": "regex", "pattern": "\\[redact [a-z0-9]+\\]",
+     "replacement": "<MARK>", "scope": "prompt"},
+    {"id": "file", "type": "regex", "pattern": "a[0-9]+\\.py", "replacement": "<FILE>",
+     "scope": "field"},
+]
+_INGEST_TEXTS = {
+    "prompts": ["message", "active_file", "my_request", "raw_json"],
+    "events": ["data", "raw_json"],
+    "agent_reasoning_messages": ["text", "raw_json"],
+    "prelude_parts": ["events_json"],
+}
+
+
+@query
+def ingest_redaction(spark, sf_dir):
+    """Conversations through the whole ingest: rules by scope, then manual redactions.
+
+    One row for each stored text, raw JSON among them.
+    """
+    c, role = F.col("conv_id").cast("string"), F.col("role")
+    said = F.concat(F.lit("key"), c, F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    message = F.concat(
+        F.lit("## Active file: a"), c, F.lit(".py\n## My request for Codex:\n"), said,
+        F.lit(" [redact pw"), c, F.lit("x] end"),
+    )
+    answer = F.concat(said, F.lit(" end"))
+    stamp = adapters.turn_time(F.col("turn"))
+
+    def told(kind, name, text):
+        return adapters.event_json(
+            "event_msg", stamp, F.struct(F.lit(kind).alias("type"), text.alias(name))
+        )
+
+    line = F.when(role == "user", told("user_message", "message", message)).otherwise(
+        told("agent_reasoning", "text", answer)
+    )
+    talk = _table(spark, sf_dir, "conversations")
+    lines = adapters.as_lines(talk, adapters.conv_path(), F.col("turn"), line)
+    fifth = F.col("conv_id") % 5
+    manual = talk.where(fifth < 2).select(adapters.conv_path().alias("file_path"), fifth.alias("_n"))
+    manual = manual.distinct().select(
+        F.xxhash64("file_path").alias("id"),
+        "file_path",
+        F.lit(1).cast("bigint").alias("prompt_index"),
+        F.when(F.col("_n") == 0, "prompt").otherwise("field").alias("scope"),
+        F.when(F.col("_n") == 1, "my_request").alias("field_path"),
+        F.when(F.col("_n") == 0, "<MANUAL>").otherwise("<MINE>").alias("replacement_text"),
+        F.lit("2025-01-01 00:00:00").cast("timestamp").alias("created_at"),
+    )
+    built = ingest.build(
+        lines,
+        _talk_files(spark, sf_dir),
+        rules=rules.make_rules(spark, _INGEST_RULES),
+        fields={"file": ["prompts.active_file"]},
+        manual=manual,
+    ).tables
+    found = None
+    for name, columns in _INGEST_TEXTS.items():
+        place = F.col("part" if name == "prelude_parts" else "seq").cast("bigint").alias("place")
+        texts_of = [
+            F.struct(F.lit(f"{name}.{column}").alias("stored"), F.col(column).alias("text"))
+            for column in columns
+        ]
+        rows = built[name].select("file_path", place, F.inline(F.array(*texts_of)))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def rule_records(spark, sf_dir):
     """One rule record per document, every flaw among them, with its error."""
