@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlake.llm import (
     decontaminate,
+    filter_audit,
     language,
     line_dedup,
+    merkle,
     packing,
     pii,
+    sentence_pieces,
     simhash,
     token_file,
     top_k,
@@ -108,3 +111,29 @@ def op9_pii(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    doc_id = F.col("doc_id").cast("string")
+    tampered = F.crc32(doc_id) % 5 == 0
+    documents = table(spark, sf_dir, "documents")
+    found = merkle.manifest(documents, tampered, merkle.lower_ascii(F.col("text")))
+    return merkle.verify(found)
+
+
+ORACLES["op11_merkle"] = merkle.SQL
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.SQL
+
+
+@query
+def op13_sentence_pieces(spark, sf_dir):
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    return sentence_pieces.digests(sentence_pieces.decode(encoded))
