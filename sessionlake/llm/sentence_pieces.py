@@ -14,6 +14,7 @@ an empty table gives no rows; ids alone come with ``doc_id``, other columns are
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -54,28 +55,30 @@ class ChunkTable:
     def __init__(self, model: SentencePieceProcessor, held_chunks: int):
         self.model, self.held_chunks = model, held_chunks
         self.alone = chunks_stand_alone(model)
-        self.held: dict[str, list[int]] = {}
+        self.held: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
     def _segment(self, chunks: list[str]) -> None:
         # The library puts the first marker before a text itself, but not before no text.
-        found = self.model.encode([chunk[1:] for chunk in chunks], num_threads=1)
-        self.held.update(zip(chunks, found))
+        self.held.update(zip(chunks, self._library([chunk[1:] for chunk in chunks])))
         if MARKER in self.held:
-            self.held[MARKER] = [self.model.piece_to_id(MARKER)]
+            self.held[MARKER] = array("i", [self.model.piece_to_id(MARKER)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, without an end id."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """32-bit ids of each text, without an end id."""
         if not self.alone:
-            return self.model.encode(texts, num_threads=1)
+            return self._library(texts)
         if len(self.held) > self.held_chunks:
             self.held.clear()
         cut = [_CHUNK.findall(MARKER + text.replace(" ", MARKER)) if text else [] for text in texts]
         self._segment(list(set(chain.from_iterable(cut)).difference(self.held)))
         look_up = self.held.__getitem__
-        return [list(chain.from_iterable(map(look_up, chunks))) for chunks in cut]
+        return [b"".join(map(look_up, chunks)) for chunks in cut]
 
 
-def encode(documents: DataFrame, path: str | None = None, held_chunks: int = 300_000) -> DataFrame:
+def encode(documents: DataFrame, path: str | None = None, held_chunks: int = 700_000) -> DataFrame:
     """(doc_id, ids) of every document; ids end with the end id.
 
     ``held_chunks`` bounds a task's table before a slice of texts is added to it."""
@@ -83,14 +86,13 @@ def encode(documents: DataFrame, path: str | None = None, held_chunks: int = 300
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SentencePieceProcessor(model_file=path)
-        table, end = ChunkTable(model, held_chunks), [model.eos_id()]
+        table, end = ChunkTable(model, held_chunks), array("i", [model.eos_id()]).tobytes()
         for batch in batches:
             for low, high in slices(utf8(batch.column("text"))[1]):
                 part = batch.slice(low, high - low)
                 found = table.encode([text or "" for text in part.column("text").to_pylist()])
-                sizes = np.array([len(ids) + 1 for ids in found], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids + end for ids in found), np.int32, int(sizes.sum()))
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids + end for ids in found), dtype=np.int32)
+                offsets = np.cumsum([0, *(len(ids) // 4 + 1 for ids in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), ids], ["doc_id", "ids"])
 
@@ -105,10 +107,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SentencePieceProcessor(model_file=path)
         for batch in batches:
-            held = batch.column("ids")
-            for low, high in slices(4 * held.offsets.to_numpy().astype(np.int64)):
-                part = batch.slice(low, high - low)
-                texts = model.decode(part.column("ids").to_pylist(), num_threads=1)
+            offsets = batch.column("ids").offsets.to_numpy().astype(np.int64)
+            values = batch.column("ids").values.to_numpy()
+            for low, high in slices(4 * offsets):
+                part, flat = batch.slice(low, high - low), values[offsets[low] : offsets[high]].tolist()
+                places = (offsets[low : high + 1] - offsets[low]).tolist()
+                texts = model.decode([flat[a:b] for a, b in zip(places, places[1:])], num_threads=1)
                 columns = [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"])
 
