@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from conftest import item, msg
+from helpers import item, msg
 from sessionlake.operators import calls, chunks, events
 
 

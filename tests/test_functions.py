@@ -186,6 +186,30 @@ def test_load_rules_from_file(spark, tmp_path):
     path.write_text('[{"id": "t", "type": "regex", "pattern": "x", "reason": " "}]')
     (rule,) = rules.load_rules(spark, str(path))
     assert (rule.scope, rule.reason, rule.ignore_case) == ("prompt", None, True)
+    path.write_text("[]")
+    assert rules.load_rules(spark, str(path)) == []
+
+
+_GOOD = '{"id": "t", "type": "regex", "pattern": "x"}'
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"[{_GOOD}, {_GOOD[:20]}", f'[{_GOOD}, "x"]', f"[{_GOOD}] trailing", f"[{_GOOD}", _GOOD, "null", "", "[[]]"],
+)
+def test_damaged_rule_file_fails(spark, tmp_path, text):
+    path = tmp_path / "rules.json"
+    path.write_text(text)
+    with pytest.raises(rules.RuleError):
+        rules.load_rules(spark, str(path))
+
+
+def test_values_that_are_not_text(spark):
+    entry = {"id": 7, "type": "Literal", "pattern": "a", "enabled": "false", "ignore_case": 0, "dotall": []}
+    (rule,) = rules.make_rules(spark, [entry])
+    assert (rule.id, rule.enabled, rule.ignore_case, rule.dotall) == ("7", True, False, False)
+    with pytest.raises(rules.RuleError):
+        rules.make_rules(spark, ["x"])
 
 
 # --- strict JSON -------------------------------------------------------------------

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from conftest import event, item, msg
+from helpers import event, item, msg
 from sessionlake.operators import events, tables
 from sessionlake.plans import ingest
 from sessionlake.sources import discovery, jsonl

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import event, item, msg
+from helpers import event, item, msg
 from sessionlake.functions import jsonv, rules
 from sessionlake.operators import (
     chunks,

@@ -1,6 +1,6 @@
 """New files are ingested batch by batch."""
 
-from conftest import event, item, msg
+from helpers import event, item, msg
 from sessionlake.operators import tables
 from sessionlake.streaming.ingest import follow_directory
 
