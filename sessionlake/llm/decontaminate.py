@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sessionlake.llm.fm_index import FMIndex
+from sessionlake.llm.shared import share
 from sessionlake.llm.words import byte_class, find_words, slices, utf8
 
 WINDOW = 13
@@ -208,12 +209,12 @@ def find_contamination(
     spark, found = documents.sparkSession, documents
     columns = []
     for number, items in enumerate(_blocks(benchmark, block_bytes)):
-        windows = spark.sparkContext.broadcast(Windows(items, window))
+        windows = share(spark, Windows(items, window))
         column = f"__found_{number}"
         schema = T.StructType([*found.schema.fields, T.StructField(column, FOUND)])
 
         def run(batches, windows=windows, column=column):
-            search = partial(_shards, windows.value, shard_words)
+            search = partial(_shards, windows(), shard_words)
             return _with_column(column, search, batches)
 
         found = found.mapInArrow(run, schema)

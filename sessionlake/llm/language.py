@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from sessionlake.llm.shared import share
 from sessionlake.llm.words import byte_class, find_words, slices, utf8
 
 UNKNOWN = "und"
@@ -177,7 +178,7 @@ def fit(labelled: DataFrame, max_documents: int = 8_000, max_entries: int = 300_
 
 def predict(documents: DataFrame, model: Model, lang: str, score: str) -> DataFrame:
     """``documents`` with the predicted language and its score as two more columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = share(documents.sparkSession, model)
     schema = T.StructType(
         [
             *documents.schema.fields,
@@ -187,8 +188,9 @@ def predict(documents: DataFrame, model: Model, lang: str, score: str) -> DataFr
     )
 
     def run(batches):
+        model = shared()
         for batch in batches:
-            answers, shares = shared.value.judge(batch.column("text"))
+            answers, shares = model.judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(answers, pa.string()), pa.array(shares, pa.float64())],
                 [*batch.schema.names, lang, score],

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sessionlake.llm.shared import share
 from sessionlake.llm.tokens import END, Encoder, vocabulary_path
 from sessionlake.llm.words import slices, utf8
 from sessionlake.session import stage
@@ -52,10 +53,10 @@ def pieces(documents: DataFrame, path: str, capacity: int) -> DataFrame:
         "task bigint, place bigint"
     )
 
-    shared = documents.sparkSession.sparkContext.broadcast(Encoder(path))
+    state = documents.sparkSession.sparkContext.broadcast({})  # filled by each worker
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = shared.value, np.zeros(capacity + 1, dtype=np.int64)
+        encoder, seen = Encoder(path, state.value), np.zeros(capacity + 1, dtype=np.int64)
         end = END.to_bytes(4, "little")
         for batch in batches:
             for low, high in slices(utf8(batch.column("text"))[1]):
@@ -259,7 +260,7 @@ def pack_documents(
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[row["length"]] = row["n"]  # one row for each length
-    places = documents.sparkSession.sparkContext.broadcast(Places(pack(counts, capacity)))
+    places = share(documents.sparkSession, Places(pack(counts, capacity)))
     earlier = F.sum("n").over(
         Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -270,8 +271,9 @@ def pack_documents(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = places()
         for batch in batches:
-            found = places.value.find(
+            found = table.find(
                 *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "number"))
             )
             names = batch.schema.names[:-1]

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sessionlake.llm.shared import share
 from sessionlake.session import stage
 
 SCALE = 256
@@ -191,10 +192,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 8192) -
                 vec_id = batch.column("vec_id").to_numpy()[low:high]
                 search_bucket(start, vec_id, members[low:high], lengths[low:high])
         queries.needed = start.needed
-        shared = spark.sparkContext.broadcast(queries)
+        shared = share(spark, queries)
 
         def run(batches, shared=shared):
-            return _search(shared.value, k, batches)
+            return _search(shared(), k, batches)
 
         schema = "ordinal bigint, query_id bigint, vec_id bigint, score bigint"
         answers = stage(laid_out.mapInArrow(run, schema), "answers").withColumn("block", F.lit(number))

@@ -1,14 +1,18 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes ratios.
 
-A feature is the presence of a lower-case character n-gram (3 to 6 characters, hashed to
-2**20 buckets). Its value is the log-count ratio of naive Bayes: how much likelier toxic
-documents are to hold it. A logistic regression on these scaled features gives the
-weights; features that tell little (small ratio for their support) are left out.
+A feature is that a lower-case character n-gram (3 to 6 characters, hashed to 2**20
+buckets) stands in a document at least once, twice or four times. Its value is the
+log-count ratio of naive Bayes: how much likelier toxic documents are to have it. A
+logistic regression on these scaled features gives the weights; features that tell little
+about the label are left out.
 
 Learning uses a bounded sample of labelled documents: about ``max_documents``, half of
 them toxic where there are enough, chosen by a hash of the id; the intercept is moved
 back to the real share of toxic documents. Counts are summed by Spark; the regression
-runs on the driver over the sample's ``max_features`` best features.
+runs on the driver over the sample's best features. How many of them (``sizes``) and which
+of ``penalties`` is chosen by a fold of the sample that is put aside: models made from the
+other rows alone are tried on it, and the likeliest wins. More features than the choice
+only fit the sample's chance. The final model learns from the whole sample.
 
 Defined cases: a null or empty text has no features and scores the intercept; without
 labels of both kinds every document scores the share of toxic labels (0 without labels);
@@ -20,15 +24,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from sessionlake.llm.shared import share
 from sessionlake.llm.words import slices, utf8
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
+LEVELS = (1, 2, 4)  # occurrences that make a feature of their own
+FEATURES = len(LEVELS) << BUCKET_BITS
+FOLDS = 5  # one is put aside
+PENALTIES = (0.3, 1.0, 3.0, 10.0)
+SIZES = (250, 1000, 4000)  # features of a model
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -50,14 +61,22 @@ def gram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def present(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every wanted feature that a row holds, each once."""
+    """Row and feature of what a row holds of wanted buckets, each once."""
     found = [np.zeros(0, dtype=np.int64)]
     for buckets, whole, ends in gram_buckets(texts):
         places = np.flatnonzero(wanted[buckets] & whole)
         rows = np.searchsorted(ends, places, side="right")
         found.append(rows << BUCKET_BITS | buckets[places].astype(np.int64))
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
+    pairs, times = np.unique(np.concatenate(found), return_counts=True)
+    rows, buckets = pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
+    kept = [times >= least for least in LEVELS]
+    features = [buckets[k] | level << BUCKET_BITS for level, k in enumerate(kept)]
+    return np.concatenate([rows[k] for k in kept]), np.concatenate(features)
+
+
+def of_buckets(features: np.ndarray) -> np.ndarray:
+    """The buckets that a mask over features needs."""
+    return features.reshape(len(LEVELS), -1).any(axis=0)
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -66,22 +85,22 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield low, [text or "" for text in column.slice(low, high - low).to_pylist()]
 
 
+_COUNTS = ("clean", "toxic", "clean_aside", "toxic_aside")
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold a bucket, summed over a batch."""
+    """Documents of each label, aside or not, that have a feature, summed over a batch."""
     every = np.ones(1 << BUCKET_BITS, dtype=bool)
     for batch in batches:
-        toxic = np.array(batch.column("toxic").to_pylist(), dtype=bool)
-        counts = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
+        kind = np.array(batch.column("toxic").to_pylist()) + 2 * np.array(batch.column("aside").to_pylist())
+        counts = np.zeros((len(_COUNTS), FEATURES), dtype=np.int32)
         for low, texts in _parts(batch.column("text")):
-            rows, buckets = present(texts, every)
-            for label in (0, 1):
-                mine = buckets[toxic[low + rows] == label]
-                counts[label] += np.bincount(mine, minlength=1 << BUCKET_BITS)
+            rows, features = present(texts, every)
+            for each in np.unique(kind[low : low + len(texts)]).tolist():
+                counts[each] += np.bincount(features[kind[low + rows] == each], minlength=FEATURES).astype(np.int32)
         seen = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])],
-            ["bucket", "clean", "toxic"],
-        )
+        columns = [pa.array(counts[each, seen].astype(np.int64)) for each in range(len(_COUNTS))]
+        yield pa.RecordBatch.from_arrays([pa.array(seen), *columns], ["feature", *_COUNTS])
 
 
 @dataclass
@@ -89,27 +108,28 @@ class Model:
     intercept: float
     weights: np.ndarray
 
+    def __post_init__(self):
+        self.wanted = of_buckets(self.weights != 0)
+
     def score(self, texts: list[str]) -> np.ndarray:
-        rows, buckets = present(texts, self.weights != 0)
-        sums = np.bincount(rows, weights=self.weights[buckets], minlength=len(texts))
+        rows, features = present(texts, self.wanted)
+        sums = np.bincount(rows, weights=self.weights[features], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -500, 500)))
 
 
 def _feature_rows(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]):
+    buckets = of_buckets(wanted)
     for batch in batches:
-        toxic = batch.column("toxic").to_pylist()
         for low, texts in _parts(batch.column("text")):
-            rows, buckets = present(texts, wanted)
-            bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+            rows, features = present(texts, buckets)
+            kept = np.flatnonzero(wanted[features])
+            kept = kept[np.argsort(rows[kept], kind="stable")]
+            rows, features = rows[kept], features[kept].astype(np.int32)
+            offsets = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(features))
+            part = batch.slice(low, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(toxic[low : low + len(texts)], pa.int32()),
-                    pa.array(
-                        [buckets[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])],
-                        pa.list_(pa.int32()),
-                    ),
-                ],
-                ["toxic", "buckets"],
+                [part.column("toxic"), part.column("aside"), lists], ["toxic", "aside", "features"]
             )
 
 
@@ -150,15 +170,64 @@ def _regression(
     return w[:d], float(w[d])
 
 
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    return counts * np.log(np.maximum(counts, 1e-12))
+
+
+def ratios_and_best(table: np.ndarray, documents: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratios from counts of clean and toxic documents, and the best features,
+    the best one first: by the likelihood ratio of feature and label being bound."""
+    share = (table + 1) / (table + 1).sum(axis=1, keepdims=True)
+    ratios = np.log(share[1] / share[0])
+    both, every = table.sum(axis=0), documents.sum()
+    worth = _entropy(table).sum(axis=0) + _entropy(documents[:, None] - table).sum(axis=0)
+    worth -= _entropy(both) + _entropy(every - both)
+    worth += _entropy(every) - _entropy(documents).sum()
+    worth[both < 2] = 0
+    best = np.argsort(-worth, kind="stable")[:most]
+    return ratios, best[worth[best] > 1e-6]
+
+
+@dataclass
+class Sample:
+    """Features of the sampled documents: one entry for each row and feature."""
+
+    truth: np.ndarray
+    rows: np.ndarray
+    features: np.ndarray
+
+    def of(self, chosen: np.ndarray) -> Sample:
+        """Only some of the documents."""
+        kept = chosen[self.rows]
+        numbers = np.cumsum(chosen) - 1
+        return Sample(self.truth[chosen], numbers[self.rows[kept]], self.features[kept])
+
+    def learn(self, ratios: np.ndarray, best: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+        """Weights by feature, and the intercept."""
+        best = np.sort(best)
+        kept = np.isin(self.features, best, assume_unique=False)
+        columns = np.searchsorted(best, self.features[kept])
+        learned, intercept = _regression(
+            self.rows[kept], columns, ratios[self.features[kept]], self.truth, penalty
+        )
+        weights = np.zeros(FEATURES, dtype=np.float32)
+        weights[best[: len(learned)]] = ratios[best[: len(learned)]] * learned
+        return weights, intercept
+
+    def loss(self, weights: np.ndarray, intercept: float) -> float:
+        sums = np.bincount(self.rows, weights=weights[self.features], minlength=len(self.truth)) + intercept
+        return float(np.logaddexp(0, np.where(self.truth > 0, -sums, sums)).mean())
+
+
 def fit(
     documents: DataFrame,
     labels: DataFrame,
     max_documents: int = 12_000,
-    max_features: int = 20_000,
-    penalty: float = 1.0,
+    sizes: tuple[int, ...] = SIZES,
+    penalties: tuple[float, ...] = PENALTIES,
 ) -> Model:
     """Model from the documents that ``labels`` (doc_id, toxic) covers."""
-    no_weights = np.zeros(1 << BUCKET_BITS, dtype=np.float32)
+    no_weights = np.zeros(FEATURES, dtype=np.float32)
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic")
     )
@@ -171,49 +240,59 @@ def fit(
     limit = F.when(F.col("toxic") == 1, max_documents / 2 / toxic).otherwise(
         max_documents / 2 / clean
     )
-    # At most about max_documents ids, whatever the size of the tables.
-    chosen = F.broadcast(marks.where(part < limit))
-    sample = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
-    sums = sample.mapInArrow(_document_counts, "bucket bigint, clean bigint, toxic bigint")
-    sums = sums.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = np.zeros((2, 1 << BUCKET_BITS))
-    for row in sums.where("clean + toxic >= 2").toArrow().to_batches():
-        at = row.column("bucket").to_numpy()
-        table[0, at], table[1, at] = row.column("clean").to_numpy(), row.column("toxic").to_numpy()
-    share = (table + 1) / (table + 1).sum(axis=1, keepdims=True)
-    ratios = np.log(share[1] / share[0])
-    worth = np.abs(ratios) * np.sqrt(table.sum(axis=0))
-    best = np.argsort(-worth, kind="stable")[:max_features]
-    best = np.sort(best[worth[best] > 0])
-    wanted = np.zeros(1 << BUCKET_BITS, dtype=bool)
-    wanted[best] = True
+    aside = (F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(FOLDS)) == 0).cast("int").alias("aside")
+    # About max_documents ids at most, whatever the size of the tables.
+    chosen = marks.where(part < limit).select("doc_id", "toxic", aside)
+    sample = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "aside")
+    schema = "feature bigint, " + ", ".join(f"{name} bigint" for name in _COUNTS)
+    sums = sample.mapInArrow(_document_counts, schema).groupBy("feature")
+    sums = sums.agg(*(F.sum(name).alias(name) for name in _COUNTS)).where(f"{' + '.join(_COUNTS)} >= 2")
+    table = np.zeros((len(_COUNTS), FEATURES))
+    for batch in sums.toArrow().to_batches():
+        at = batch.column("feature").to_numpy()
+        for row, name in enumerate(_COUNTS):
+            table[row, at] = batch.column(name).to_numpy()
+    held = {
+        (row["toxic"], row["aside"]): row["n"]
+        for row in sample.groupBy("toxic", "aside").agg(F.count("*").alias("n")).collect()
+    }
+    sizes_of = np.array([[held.get((label, fold), 0.0) for label in (0, 1)] for fold in (0, 1)])
+    ratios, best = ratios_and_best(table[:2] + table[2:], sizes_of.sum(axis=0), max(sizes))
+    inner_ratios, inner_best = ratios_and_best(table[:2], sizes_of[0], max(sizes))
+    wanted = np.zeros(FEATURES, dtype=bool)
+    wanted[best] = wanted[inner_best] = True
     held = sample.mapInArrow(
-        lambda batches: _feature_rows(wanted, batches), "toxic int, buckets array<int>"
+        lambda batches: _feature_rows(wanted, batches), "toxic int, aside int, features array<int>"
     ).toArrow()
-    truth = held.column("toxic").to_numpy().astype(float)
-    if not 0 < truth.sum() < len(truth):
+    truth, set_aside = (held.column(name).to_numpy() > 0 for name in ("toxic", "aside"))
+    if truth.all() or not truth.any():
         share = toxic / (clean + toxic)
         return Model(float(np.log(share / (1 - share))), no_weights)
-    lists = held.column("buckets").combine_chunks()
-    flat = lists.flatten().to_numpy()
-    sizes = np.diff(lists.offsets.to_numpy())
-    rows, columns = np.repeat(np.arange(len(truth)), sizes), np.searchsorted(best, flat)
-    weights, intercept = _regression(rows, columns, ratios[flat], truth, penalty)
+    lists = held.column("features").combine_chunks()
+    held_by = np.diff(lists.offsets.to_numpy())
+    every = Sample(truth.astype(float), np.repeat(np.arange(len(truth)), held_by), lists.flatten().to_numpy())
+    choice, inner = (sizes[0], penalties[0]), every.of(~set_aside)
+    if set_aside.any() and inner.truth.any() and not inner.truth.all():
+        asked = every.of(set_aside)
+        choice = min(
+            product(sizes, penalties),
+            key=lambda c: asked.loss(*inner.learn(inner_ratios, inner_best[: c[0]], c[1])),
+        )
+    weights, intercept = every.learn(ratios, best[: choice[0]], choice[1])
     # The sample is balanced; the corpus is not.
     sampled = np.log(truth.sum() / (len(truth) - truth.sum()))
-    intercept += np.log(toxic / clean) - sampled
-    no_weights[best[: len(weights)]] = ratios[best[: len(weights)]] * weights
-    return Model(intercept, no_weights)
+    return Model(intercept + np.log(toxic / clean) - sampled, weights)
 
 
 def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``documents`` with the probability that a document is toxic."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = share(documents.sparkSession, model)
     schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
+        model = shared()
         for batch in batches:
-            parts = [shared.value.score(texts) for _, texts in _parts(batch.column("text"))]
+            parts = [model.score(texts) for _, texts in _parts(batch.column("text"))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name]

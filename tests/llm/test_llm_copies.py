@@ -197,12 +197,28 @@ def test_pieces_equal_the_library(library):
         "<|endoftext|> is text", "中文かなカナ한글 Привет", "\x1c\x85\u3000 odd\u00a0space\u200b",
         "مرحبا नमस्ते 😀👍🏽", "a" * 500 + " " * 70 + "1" * 90, "'s''s 's!'s",
     ]
-    encoder = tokens.Encoder(tokens.vocabulary_path(), held_pieces=3)
+    texts += [" " * 5000 + "a", "\n" * 199 + "b", "word" * 5000, " x\n y  z "]
+    state = {}
     for _ in range(2):
+        encoder = tokens.Encoder(tokens.vocabulary_path(), state)
         found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
         assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_ranks_only_of_byte_level_vocabularies():
+    import json
+
+    with open(tokens.vocabulary_path(), encoding="utf-8") as file:
+        vocabulary = json.load(file)
+    table = tokens.ranks(vocabulary)
+    assert len(table) == 50_256 and table[b" the"] == vocabulary["model"]["vocab"]["\u0120the"]
+    assert tokens.ranks({**vocabulary, "normalizer": {"type": "Lowercase"}}) is None
+    vocabulary["model"]["merges"].reverse()
+    assert tokens.ranks(vocabulary) is None
+    other = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"))
+    assert other.fast is None and other.encode(["two words", None])[1] == b""
+
+
 def plain_ids(library, text):
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.llm import decontaminate, fm_index, language, pii, queries, toxicity
 
@@ -221,5 +222,5 @@ def test_sanitised_text(spark, odd, none):
     assert out.columns == odd.columns
     assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, odd.select("doc_id", "text").collect()))
     assert pii.digests(pii.find_personal_data(none)).count() == 0
-    with_mail = odd.withColumn("text", odd.text + " write to ann@b.cd please")
+    with_mail = odd.withColumn("text", F.concat("text", F.lit(" write to ann@b.cd please")))
     assert spark.createDataFrame([], odd.schema).count() == 0 and pii.sanitise(with_mail).count() == odd.count()
