@@ -202,12 +202,13 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
     name: str = "contamination",
 ) -> DataFrame:
-    """``documents`` with a struct ``name``: n_words, merged spans of words, item_ids.
+    """``documents`` with a struct ``name``: n_words, merged spans of words, item_ids. It
+    replaces a column of that name.
 
     The benchmark meets all documents in blocks: one pass for each ``block_bytes`` of it.
     """
-    spark, found = documents.sparkSession, documents
-    columns = []
+    spark, found = documents.sparkSession, documents.drop(name)
+    kept, columns = found.columns, []
     for number, items in enumerate(_blocks(benchmark, block_bytes)):
         windows = share(spark, Windows(items, window))
         column = f"__found_{number}"
@@ -228,7 +229,7 @@ def find_contamination(
             F.array_distinct(F.flatten(F.array(*(c["item_ids"] for c in columns))))
         ).alias("item_ids"),
     )
-    return found.select(*documents.columns, joined.alias(name))
+    return found.select(*kept, joined.alias(name))
 
 
 @F.udf(SPANS, useArrow=True)

@@ -177,11 +177,14 @@ def fit(labelled: DataFrame, max_documents: int = 8_000, max_entries: int = 300_
 
 
 def predict(documents: DataFrame, model: Model, lang: str, score: str) -> DataFrame:
-    """``documents`` with the predicted language and its score as two more columns."""
+    """``documents`` with the predicted language and its score as two more columns, which
+    replace columns of their names."""
     shared = share(documents.sparkSession, model)
+    texts = documents.withColumn("__text", F.col("text")).drop(lang, score)
+    kept = [field for field in texts.schema.fields if field.name != "__text"]
     schema = T.StructType(
         [
-            *documents.schema.fields,
+            *kept,
             T.StructField(lang, T.StringType()),
             T.StructField(score, T.DoubleType()),
         ]
@@ -190,13 +193,13 @@ def predict(documents: DataFrame, model: Model, lang: str, score: str) -> DataFr
     def run(batches):
         model = shared()
         for batch in batches:
-            answers, shares = model.judge(batch.column("text"))
+            answers, shares = model.judge(batch.column("__text"))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(answers, pa.string()), pa.array(shares, pa.float64())],
-                [*batch.schema.names, lang, score],
+                [*batch.columns[:-1], pa.array(answers, pa.string()), pa.array(shares, pa.float64())],
+                [*batch.schema.names[:-1], lang, score],
             )
 
-    return documents.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

@@ -20,6 +20,7 @@ overlapping spans of different kinds all stay; other columns pass through.
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sessionlake.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# A match never starts inside a run of digits: that it cannot shows at the run's start.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -55,11 +58,26 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of LOCAL characters, an at sign and a domain, in linear time: an
+    address is looked for from its at sign to both sides."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at) if start < at else None
+        done = domain.end() if domain else done
+        if domain:
+            yield start, done
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[Span]:
     """Personal data by kind, then place; a match that fails its check is dropped."""
     spans: list[Span] = []
     if "@" in text:
-        spans += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        spans += [("email", *span) for span in emails(text)]
     if not DIGIT.search(text):
         return spans
     if "." in text:

@@ -7,7 +7,8 @@ the lengths of the query and of the bucket's longest vector, it becomes the cosi
 a member needs at least. Above 1 the bucket is skipped. Where it is high, coordinate
 pruning keeps members whose direction lies in the feasible range of the query's largest
 coordinates; where it is low, length pruning keeps members that are long enough. What is
-left is verified by exact integer products.
+left is verified by exact integer products: in float64 where lengths allow no larger ones
+than it holds exactly, else in whole numbers, from candidates that may err by rounding.
 
 Queries meet all vectors in blocks of ``block`` queries; a block is what is broadcast.
 Starting scores come from the longest vectors, a bounded number, and only speed things
@@ -16,11 +17,13 @@ up. A task hands on at most k rows a query.
 Defined cases: vectors that are null, or hold null or non-finite components, and rows
 without an id take no part; vectors of unlike size compare as if filled up with zeros;
 rows with the query's id are never its answers; a repeated query is answered each time; a
-repeated candidate counts each time; other columns are not used.
+repeated candidate counts each time; a product beyond the range of a long raises; other
+columns are not used.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +40,7 @@ NARROW = 0.9  # shortest to longest in a bucket
 COORDINATE_COSINE = 0.5
 FOCUS = 3
 SLACK = 1e-9
+EXACT = 2.0**52  # float64 products of shorter vectors are exact integers
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -45,7 +49,12 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
         "embedding",
         lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")),
     )
-    floored = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    # A double is whole from 2 ** 53 on; floor itself would stop at the largest long.
+    floored = F.transform(
+        "embedding",
+        lambda x: F.when(F.abs(x.cast("double")) < 2.0**45, F.floor(x.cast("double") * SCALE).cast("double"))
+        .otherwise(x.cast("double") * SCALE),
+    )
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
     return kept.select("vec_id", floored.alias("v")).withColumn("length", F.sqrt(square))
@@ -107,12 +116,24 @@ def _buckets(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Integer products row by row, of any size that a long holds; a larger one raises."""
+    sums = [sum(map(operator.mul, a, b)) for a, b in zip(*(map(_whole, side) for side in (left, right)))]
+    return np.array(sums, dtype=np.int64)
+
+
+def _whole(row: np.ndarray) -> list[int]:
+    return [int(x) for x in row.tolist()]
+
+
 def search_bucket(best: Best, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray) -> None:
     """Verify what pruning leaves of one bucket (members by falling length)."""
     queries = best.queries
     reach = np.maximum(queries.lengths * lengths[0], 1e-300)
+    # How far a float64 product may be from the true one; nothing where all are exact.
+    unsure = np.where(reach < EXACT, 0.0, reach * (vectors.shape[1] + 4) * 2.0**-52)
     cosine = best.needed / reach
-    alive = cosine <= 1 + SLACK
+    alive = cosine <= 1 + SLACK + unsure / reach
     by_coordinate = np.flatnonzero(alive & (cosine >= COORDINATE_COSINE))
     by_length = np.flatnonzero(alive & (cosine < COORDINATE_COSINE))
     found = []
@@ -129,19 +150,22 @@ def search_bucket(best: Best, ids: np.ndarray, vectors: np.ndarray, lengths: np.
                 kept &= (unit[f] >= a) & (unit[f] <= b)
             members = np.flatnonzero(kept)
             scores = vectors[members] @ queries.vectors[q]
-            good = scores >= best.needed[q]
+            good = scores >= best.needed[q] - unsure[q]
             found.append((np.full(good.sum(), q), members[good], scores[good]))
     if len(by_length):
         shortest = best.needed[by_length] / np.maximum(queries.lengths[by_length], 1e-300)
         size = int(np.searchsorted(-lengths, -shortest.min() * (1 - SLACK), side="right"))
         size = len(ids) if shortest.min() <= 0 else size
         scores = queries.vectors[by_length] @ vectors[:size].T
-        q, members = np.nonzero(scores >= best.needed[by_length, None])
+        q, members = np.nonzero(scores >= (best.needed - unsure)[by_length, None])
         found.append((by_length[q], members, scores[q, members]))
     if found:
         query, members, scores = (np.concatenate(parts) for parts in zip(*found))
         other = queries.ids[query] != ids[members]
-        best.add(query[other], ids[members[other]], scores[other])
+        query, members, scores = query[other], members[other], scores[other]
+        if (unsure[query] > 0).any():
+            scores = exact_products(queries.vectors[query], vectors[members])
+        best.add(query, ids[members], scores)
 
 
 def _search(queries: Queries, k: int, batches: Iterator[pa.RecordBatch]):

@@ -17,7 +17,7 @@ only fit the sample's chance. The final model learns from the whole sample.
 Defined cases: a null or empty text has no features and scores the intercept; without
 labels of both kinds every document scores the share of toxic labels (0 without labels);
 several labels of one document count as the highest; rows are judged one by one; other
-columns pass through.
+columns pass through, but for one with the score's name, which it replaces.
 """
 
 from __future__ import annotations
@@ -286,7 +286,7 @@ def fit(
 
 def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``documents`` with the probability that a document is toxic."""
-    shared = share(documents.sparkSession, model)
+    documents, shared = documents.drop(name), share(documents.sparkSession, model)
     schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):

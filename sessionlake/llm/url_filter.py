@@ -32,9 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sessionlake.session import stage
 
 LONGEST_WORD = 24
+PLACES = 4096  # of a long name, whose parts are found together
 TOTAL = ""  # the entry that carries the number of all words
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_UNSEEN = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.DOTALL | re.IGNORECASE)
+_HIDDEN = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_ENDS = {name: re.compile(f"</{name}>", re.IGNORECASE) for name in ("script", "style")}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -94,7 +96,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for html in batch.column("html").to_pylist():
-                counts.update(_WORD.findall(_UNSEEN.sub(" ", html or "").lower()))
+                counts.update(_WORD.findall(visible(html or "").lower()))
             counts[TOTAL] = sum(counts.values())
             kept = {w: n for w, n in counts.items() if len(w) <= LONGEST_WORD}
             yield pa.RecordBatch.from_arrays(
@@ -105,6 +107,26 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select("html").mapInArrow(run, "word string, n bigint")
 
 
+def visible(html: str) -> str:
+    """The text of a page, with a space for each tag and each script or style.
+
+    What is never closed is searched for its end once, so this takes linear time."""
+    out, done, at, unclosed = [], 0, html.find("<"), set()
+    while at >= 0:
+        hidden, end = _HIDDEN.match(html, at), -1
+        if hidden and (name := hidden[1].lower()) not in unclosed:
+            found = _ENDS[name].search(html, hidden.end())
+            end = found.end() if found else -1
+            unclosed |= set() if found else {name}
+        if end < 0:
+            end = html.find(">", at) + 1
+            if not end:
+                break  # no tag ends from here on
+        out.append(html[done:at])
+        done, at = end, html.find("<", end)
+    return " ".join([*out, html[done:]])
+
+
 def viterbi(name: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
     """The likeliest split; an unknown word costs ten times more with each letter."""
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
@@ -123,39 +145,50 @@ def viterbi(name: str, known: dict[tuple[int, int], float], total: float) -> lis
 
 def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words): every distinct ``name`` in its likeliest words."""
-    start = F.sequence(F.lit(1), F.length("name"))
-    places = names.select("name", F.explode(start).alias("start")).select(
-        "name",
-        "start",
-        F.explode(
-            F.sequence(
-                F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("start") + 1)
-            )
-        ).alias("size"),
-    )
-    parts = places.withColumn("word", F.substr("name", F.col("start"), F.col("size")))
-    wanted = parts.select("word").distinct()
+    names = stage(names.withColumn("number", F.monotonically_increasing_id()), "numbered")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, number in zip(*(batch.column(c).to_pylist() for c in ("name", "number"))):
+                for low in range(0, len(name), PLACES):
+                    words = {
+                        name[start : start + size]
+                        for start in range(low, min(low + PLACES, len(name)))
+                        for size in range(1, min(LONGEST_WORD, len(name) - start) + 1)
+                    }
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number] * len(words), pa.int64()), pa.array(list(words), pa.string())],
+                        ["number", "word"],
+                    )
+
+    held = names.mapInArrow(parts, "number bigint, word string")
     totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    wanted = held.select("word").distinct()
     known = stage(
         totals.join(wanted, "word", "left_semi").union(totals.where(F.col("word") == TOTAL)), "words"
     )
     total = (known.where(F.col("word") == TOTAL).agg(F.sum("n")).first()[0] or 0) + 1
-    found = parts.join(known, "word").groupBy("name").agg(
-        F.collect_list(F.struct("start", "size", F.log(F.col("n") / total).alias("score"))).alias("known")
-    )
-    held = names.join(found, "name", "left")
+    score = F.struct("word", F.log(F.col("n") / total).alias("score"))
+    found = held.join(known, "word").groupBy("number").agg(F.collect_set(score).alias("known"))
+    joined = names.join(found, "number", "left").select("name", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = []
             for name, known in zip(*(batch.column(c).to_pylist() for c in ("name", "known"))):
-                scores = {(k["start"] - 1, k["start"] - 1 + k["size"]): k["score"] for k in known or ()}
-                words.append(viterbi(name, scores, total))
+                scores = {k["word"]: k["score"] for k in known or ()}
+                places = {
+                    (start, end): scores[name[start:end]]
+                    for start in range(len(name))
+                    for end in range(start + 1, min(start + LONGEST_WORD, len(name)) + 1)
+                    if name[start:end] in scores
+                }
+                words.append(viterbi(name, places, total))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("name"), pa.array(words, pa.list_(pa.string()))], ["name", "words"]
             )
 
-    return held.mapInArrow(run, "name string, words array<string>")
+    return joined.mapInArrow(run, "name string, words array<string>")
 
 
 def bayes_scores(signatures: DataFrame, words: DataFrame) -> DataFrame:
@@ -188,9 +221,12 @@ def bayes_scores(signatures: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``pages`` without ``html``, with host, path, rule, verdict and the method's score."""
+    """``pages`` without ``html``, with host, path, rule, verdict and the method's score, which
+    replace columns of their names (and one named ``signature``)."""
     host, path = split_url(F.col("url"))
-    parts = pages.drop("html").withColumns({"host": host, "path": path})
+    made = ("host", "path", "rule", "verdict", "score", "signature")
+    parts = pages.withColumns({"__host": host, "__path": path}).drop("html", *made)
+    parts = parts.withColumnsRenamed({"__host": "host", "__path": "path"})
     seen = stage(
         parts.withColumns(
             {
