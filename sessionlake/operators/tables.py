@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sessionlake.operators import lake
 from sessionlake.operators.chunks import with_running_totals
 from sessionlake.schemas import EXTRA_TABLES, TABLES, schema_of
 from sessionlake.session import stage
 
-BUCKETS = 256
 ALL_TABLES = (*TABLES, *EXTRA_TABLES)
 
 
@@ -19,11 +18,6 @@ class CopyRefused(RuntimeError):
     """The target of a copy holds rows or the copy does not match."""
 
 
-def file_bucket(buckets: int = BUCKETS) -> Column:
-    """Folder of a file inside a stored table."""
-    return F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int").alias("bucket")
-
-
 def conform(frame: DataFrame, table: str) -> DataFrame:
     """Columns of the table in order and type."""
     return frame.select(
@@ -31,51 +25,31 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
     )
 
 
-def write_table(frame: DataFrame, base: str, table: str, mode: str = "append") -> None:
-    """Write a table as Parquet in the one layout all stored tables have."""
-    write_buckets(conform(frame, table), base, table, mode)
-
-
-def write_buckets(frame: DataFrame, base: str, table: str, mode: str) -> None:
-    """Append rows, or overwrite the folders that the rows belong to.
-
-    Rebalancing gathers small folders in one task and lets AQE split a huge one.
-    """
-    (
-        frame.withColumn("bucket", file_bucket())
-        .hint("rebalance", "bucket")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(f"{base}/{table}")
-    )
+def write_tables(spark: SparkSession, frames: dict[str, DataFrame], base: str, mode: str = "append") -> None:
+    """Write tables in the one layout all stored tables have, in one commit."""
+    before = lake.newest(spark, base)
+    live, version = before.live, lake.new_version(before)
+    for name, frame in frames.items():
+        days = lake.write_rows(frame, base, name, version)
+        gone = live.get(name, {}) if mode == "overwrite" else ()
+        live = lake.with_version(live, name, version, days, gone)
+    lake.commit(spark, base, before, live)
 
 
-def drop_buckets(
-    spark: SparkSession, base: str, table: str, buckets: Iterable[int]
-) -> None:
-    """Remove folders whose rows all belonged to replaced files."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for bucket in buckets:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{table}/bucket={bucket}")
-        path.getFileSystem(conf).delete(path, True)
+def write_table(frame: DataFrame, base: str, table: str, mode: str = "append") -> None:
+    """Add rows to a stored table, or overwrite it."""
+    write_tables(frame.sparkSession, {table: frame}, base, mode)
 
 
 def read_table(
-    spark: SparkSession, base: str, table: str, buckets: list[int] | None = None
+    spark: SparkSession,
+    base: str,
+    table: str,
+    days: Iterable[str] | None = None,
+    record: lake.Record | None = None,
 ) -> DataFrame:
-    """A stored table, or only some of its folders; never written means empty."""
-    schema = schema_of(table)
-    try:
-        layout = f"{schema.toDDL()}, bucket int"
-        stored = spark.read.schema(layout).parquet(f"{base}/{table}")
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-        return spark.createDataFrame([], schema)
-    if buckets is not None:
-        stored = stored.where(F.col("bucket").isin(buckets))
-    return stored.select(*[field.name for field in schema.fields])
+    """A stored table, or only some of its days; never written means empty."""
+    return lake.read_rows(spark, base, table, days, record)
 
 
 def replace_files(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
@@ -124,6 +98,19 @@ def file_ids(files: DataFrame) -> DataFrame:
     )
 
 
+def assign_ids(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_path, file_id) of ``files``: a stored file keeps its id, new ones get ids
+    above the largest of ``stored``, in path order (O42a).
+
+    Only the largest id passes through the driver; new ids are ranks of range partitions.
+    """
+    largest = stored.agg(F.max("file_id")).first()[0] or 0
+    known = stored.join(files.select("file_path"), "file_path", "left_semi").select("file_path", "file_id")
+    new = file_ids(files.join(stored, "file_path", "left_anti"))
+    above = new.select("file_path", (F.col("file_id") + largest).cast("bigint").alias("file_id"))
+    return known.unionByName(above)
+
+
 def table_counts(tables: dict[str, DataFrame], label: str = "rows") -> DataFrame:
     """One row per table with its row count."""
     counts = [
@@ -172,8 +159,7 @@ def copy_tables(
         raise CopyRefused(
             f"Target is not empty. Clear data before migrating. ({details})"
         )
-    for name in names:
-        write_table(read_table(spark, source, name), target, name)
+    write_tables(spark, {name: read_table(spark, source, name) for name in names}, target)
     after = dry_run(spark, source, target, names)
     wrong = after.where("source_rows <> target_rows").collect()
     if wrong:

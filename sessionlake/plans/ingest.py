@@ -14,6 +14,7 @@ from sessionlake.operators import (
     chunks,
     events,
     extract,
+    lake,
     redactions,
     rule_pass,
     sessions,
@@ -209,8 +210,8 @@ def run(
     manual = tables.read_table(spark, base, "redactions")
     if manual.isEmpty():
         manual = None
-    built = build(lines, files, on_bad_file, rules, fields, manual, folder)
     try:
+        built = build(lines, files, on_bad_file, rules, fields, manual, folder)
         return store(spark, built, base)
     finally:
         remove_folder(spark, folder)
@@ -225,35 +226,32 @@ def store(spark: SparkSession, result: Ingested, base: str) -> DataFrame:
     return counted
 
 
-def store_tables(spark: SparkSession, built: dict[str, DataFrame], base: str) -> None:
-    """Add the rows of the ingested files to the stored tables.
+def store_tables(spark: SparkSession, built: dict[str, DataFrame], base: str) -> lake.Record:
+    """Add the rows of the ingested files to the stored tables, all at once.
 
-    Rows are appended, but for the folders (a hash of the file) that hold a file
-    stored before: these are rewritten without its old rows. The files table is
-    written first: an ingest that is lost half way and run again finds its files
-    known, and replaces what it left.
+    Rows go to a new version. Days that hold a file stored before are written anew,
+    without its old rows; all other days stay as they are. One commit then makes the
+    version valid in all tables. Files keep their ids.
     """
     folder = staging_folder(spark)
-    files = stage(built["files"].select("file_path"), "new_files", folder)
-    stored = tables.read_table(spark, base, "files")
-    known = stored.join(files, "file_path", "left_semi").select(tables.file_bucket()).distinct()
-    buckets = [row.bucket for row in known.collect()]  # BUCKETS values at most
-    in_known = tables.file_bucket().isin(buckets) if buckets else F.lit(False)
-    for name in [*TABLES, *EXTRA_TABLES]:
-        if name not in built:
-            continue
-        fresh = tables.conform(built[name], name)
-        if not buckets:
-            tables.write_buckets(fresh, base, name, "append")
-            continue
-        fresh = stage(fresh, f"fresh_{name}", folder)
-        old = tables.read_table(spark, base, name, buckets)
-        # Staged first: the rows are read from the folders they will replace.
-        merged = stage(
-            tables.replace_files(old, fresh.where(in_known), files), f"merged_{name}", folder
-        )
-        tables.write_buckets(merged, base, name, "overwrite")
-        left = merged.select(tables.file_bucket()).distinct()
-        tables.drop_buckets(spark, base, name, set(buckets) - {r.bucket for r in left.collect()})
-        tables.write_buckets(fresh.where(~in_known), base, name, "append")
-    remove_folder(spark, folder)
+    before = lake.newest(spark, base)
+    live, version = before.live, lake.new_version(before)
+    try:
+        files = stage(built["files"].select("file_path"), "new_files", folder)
+        stored = tables.read_table(spark, base, "files", record=before)
+        known = stored.join(files, "file_path", "left_semi").select(lake.day_of()).distinct()
+        days = [row.day for row in known.collect()]  # as many as the calendar has
+        ids = tables.assign_ids(stored, files)
+        for name in [*TABLES, *EXTRA_TABLES]:
+            if name not in built:
+                continue
+            rows = built[name].join(ids, "file_path") if name == "files" else built[name]
+            rows = tables.conform(rows, name)
+            if days:
+                old = tables.read_table(spark, base, name, days, before)
+                rows = tables.replace_files(old, rows, files)
+            written = lake.write_rows(rows, base, name, version)
+            live = lake.with_version(live, name, version, written, days)
+        return lake.commit(spark, base, before, live)
+    finally:
+        remove_folder(spark, folder)

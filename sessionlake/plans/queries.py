@@ -829,7 +829,7 @@ def table_copy(spark, sf_dir):
     grouped = stage(_activity(spark, sf_dir), "grouped")
     files = _activity_files(spark, sf_dir)
     built = {
-        "files": files.withColumn("ingested_at", F.lit(None)),
+        "files": tables.file_ids(files).withColumn("ingested_at", F.lit(None)),
         "sessions": sessions.sessions(grouped, files),
         "prompts": extract.prompts(grouped),
         "token_messages": extract.token_messages(grouped),
@@ -840,8 +840,7 @@ def table_copy(spark, sf_dir):
         "events": extract.base_events(grouped),
         "redactions": _redaction_table(spark, sf_dir),
     }
-    for name, frame in built.items():
-        tables.write_table(frame, f"{base}/source", name)
+    tables.write_tables(spark, built, f"{base}/source")
     return tables.copy_tables(spark, f"{base}/source", f"{base}/target", built)
 
 

@@ -18,7 +18,7 @@ _LIMITS = ", ".join(
 # Table and column names; raw_json comes last so that scans of the
 # other columns stay narrow. The order is the one tables are copied in.
 TABLES = {
-    "files": "file_path string, ingested_at timestamp",
+    "files": "file_path string, file_id bigint, ingested_at timestamp",
     "sessions": (
         "file_path string, session_id string, session_timestamp string, cwd string, "
         "approval_policy string, sandbox_mode string, network_access string, "

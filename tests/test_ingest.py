@@ -5,7 +5,7 @@ import json
 import pytest
 
 from helpers import event, item, msg
-from sessionlake.operators import events, tables
+from sessionlake.operators import events, lake, tables
 from sessionlake.plans import ingest
 from sessionlake.sources import discovery, jsonl
 
@@ -303,25 +303,94 @@ def test_a_copied_lake_can_be_ingested_into(spark, log_root, tmp_path):
         tables.copy_tables(spark, base, copied)
 
 
-def test_reingest_rewrites_only_folders_of_known_files(spark, log_root, tmp_path):
-    days = {f"2025/1/1/{n}.jsonl": small_session() for n in range(6)}
-    root = log_root(days)
-    base = tmp_path / "t"
-    ingest.ingest_directory(spark, root, str(base))
-
-    def written():
-        return {p: p.stat().st_mtime_ns for p in (base / "events").rglob("part-*")}
-
-    before = written()
-    log_root({"2025/1/2/new.jsonl": small_session()})
-    old = f"{root}/2025/1/1/3.jsonl"
-    lines = jsonl.read_file(spark, old).unionByName(jsonl.read_file(spark, f"{root}/2025/1/2/new.jsonl"))
-    files = lines.select("file_path").distinct()
-    ingest.run(spark, lines, files, str(base), "fail")
-    bucket = spark.createDataFrame([(old,)], "file_path string").select(tables.file_bucket()).first()[0]
-    gone = {p for p in before if p not in written()}
-    assert gone and all(p.parent.name == f"bucket={bucket}" for p in gone)
-    assert tables.read_table(spark, str(base), "events").count() == 14
+def test_reingest_writes_only_days_of_known_files(spark, log_root, tmp_path):
+    root = log_root({f"2025/1/{n}/a.jsonl": small_session() for n in range(1, 6)})
+    base = str(tmp_path / "t")
+    ingest.ingest_directory(spark, root, base)
+    before = lake.newest(spark, base)
+    assert sorted(before.live["events"]) == [f"2025-01-0{n}" for n in range(1, 6)]
+    log_root({"2025/1/7/new.jsonl": small_session(), "2025/1/3/b.jsonl": small_session()})
+    paths = [f"{root}/2025/1/3/a.jsonl", f"{root}/2025/1/3/b.jsonl", f"{root}/2025/1/7/new.jsonl"]
+    lines = jsonl.read_file(spark, paths[0])
+    for path in paths[1:]:
+        lines = lines.unionByName(jsonl.read_file(spark, path))
+    ingest.run(spark, lines, lines.select("file_path").distinct(), base, "fail")
+    after = lake.newest(spark, base)
+    assert after.number == before.number + 1
+    for table, held in after.live.items():
+        changed = {day for day in held if held[day] != before.live[table].get(day)}
+        assert changed <= {"2025-01-03", "2025-01-07"}
+        assert all(len(versions) == 1 for versions in held.values())
+    assert tables.read_table(spark, base, "events").count() == 14
+    old = tables.read_table(spark, base, "events", record=before)
+    assert old.count() == 10  # readers of the old record still have its files
+    assert lake.vacuum(spark, base) > 0 and lake.vacuum(spark, base) == 0
+    assert tables.read_table(spark, base, "events").count() == 14
+
+
+def test_lost_ingest_leaves_readers_on_the_old_state(spark, log_root, tmp_path, monkeypatch):
+    root = log_root({"2025/1/1/a.jsonl": update_session()})
+    base = str(tmp_path / "t")
+    ingest.ingest_directory(spark, root, base)
+
+    def content():
+        return {n: sorted(map(repr, tables.read_table(spark, base, n).collect())) for n in tables.ALL_TABLES}
+
+    old, write = content(), lake.write_rows
+    log_root({"2025/1/1/a.jsonl": small_session(), "2025/1/2/b.jsonl": small_session()})
+
+    def lost(frame, base, table, version):
+        if table == "token_messages":
+            raise RuntimeError("lost")
+        return write(frame, base, table, version)
+
+    monkeypatch.setattr(lake, "write_rows", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest.ingest_directory(spark, root, base)
+    assert content() == old
+    monkeypatch.setattr(lake, "write_rows", write)
+    ingest.ingest_directory(spark, root, base)
+    assert tables.read_table(spark, base, "files").count() == 2
+    assert {r.session_id for r in tables.read_table(spark, base, "sessions").collect()} == {"s-2"}
+    assert tables.read_table(spark, base, "function_calls").count() == 0
+
+
+def test_one_of_two_commits_is_refused(spark, tmp_path):
+    base = str(tmp_path / "t")
+    before = lake.newest(spark, base)
+    lake.commit(spark, base, before, {})
+    with pytest.raises(lake.CommitRefused):
+        lake.commit(spark, base, before, {"files": {}})
+    assert lake.newest(spark, base) == lake.Record(1, {})
+
+
+def test_files_keep_their_ids(spark, log_root, tmp_path):
+    root = log_root({"2025/1/2/m.jsonl": small_session(), "2025/1/2/z.jsonl": small_session()})
+    base = str(tmp_path / "t")
+
+    def ids():
+        stored = tables.read_table(spark, base, "files").collect()
+        return {r.file_path.rsplit("/", 1)[1]: r.file_id for r in stored}
+
+    ingest.ingest_directory(spark, root, base)
+    assert ids() == {"m.jsonl": 1, "z.jsonl": 2}
+    log_root({"2025/1/1/a.jsonl": small_session(), "2025/1/2/n.jsonl": small_session()})
+    ingest.ingest_directory(spark, root, base)
+    assert ids() == {"m.jsonl": 1, "z.jsonl": 2, "a.jsonl": 3, "n.jsonl": 4}
+    ingest.ingest_file(spark, f"{root}/2025/1/2/z.jsonl", base)
+    assert ids() == {"m.jsonl": 1, "z.jsonl": 2, "a.jsonl": 3, "n.jsonl": 4}
+
+
+def test_many_versions_of_a_day_become_one(spark, tmp_path):
+    base = str(tmp_path / "t")
+    for n in range(3):
+        rows = [(f"/logs/2025/1/{day}/f{n}", n, None) for day in (1, 2)[: n + 1]]
+        tables.write_table(spark.createDataFrame(rows, tables.schema_of("files")), base, "files")
+    assert len(lake.newest(spark, base).live["files"]["2025-01-01"]) == 3
+    done = lake.compact(spark, base, most=2)
+    assert [len(v) for _, v in sorted(done.live["files"].items())] == [1, 2]
+    assert tables.read_table(spark, base, "files").count() == 5
+    assert lake.compact(spark, base, most=2) == done
 
 
 def test_empty_named_file_and_special_names(spark, log_root, tmp_path):
