@@ -1,5 +1,6 @@
 """Line dedup, SimHash, packing, token files, top-k, urls and the pipeline."""
 
+import re
 import zlib
 from itertools import combinations
 
@@ -435,8 +436,9 @@ def test_urls_by_naive_bayes(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     found = {r.page_id: r for r in queries.op2_url_filter(spark, SF).collect()}
     counts, total = {}, 0
+    unseen = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.DOTALL | re.IGNORECASE)
     for row in rows:
-        for word in url_filter._WORD.findall(url_filter._UNSEEN.sub(" ", row.html or "").lower()):
+        for word in url_filter._WORD.findall(unseen.sub(" ", row.html or "").lower()):
             counts[word] = counts.get(word, 0) + 1
             total += 1
     total += 1
