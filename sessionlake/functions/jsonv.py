@@ -18,14 +18,27 @@ _NO_LIMITS = {
 }
 
 
+def _special_numbers_as_null(text: Column) -> Column:
+    """NaN and Infinity become null; strings that hold these words stay as they are.
+
+    Escaped characters are masked first, by control characters that JSON cannot hold, so
+    that every quote left begins or ends a string: odd parts between quotes are strings."""
+    masked = F.replace(text, F.lit("\\\\"), F.lit("\x01\x01"))
+    masked = F.replace(masked, F.lit('\\"'), F.lit("\x01\x02"))
+    parts = F.transform(
+        F.split(masked, '"', -1),
+        lambda part, n: F.when(n % 2 == 1, part).otherwise(
+            F.regexp_replace(part, "NaN|-?Infinity", "null")
+        ),
+    )
+    joined = F.replace(F.array_join(parts, '"'), F.lit("\x01\x02"), F.lit('\\"'))
+    return F.replace(joined, F.lit("\x01\x01"), F.lit("\\\\"))
+
+
 def parse(text: Column) -> Column:
     """VARIANT of a JSON text; NaN and Infinity, legal in the logs, read as null."""
-    plain = F.regexp_replace(
-        text, r"(?<=[\[:,]\s?)(?:NaN|-?Infinity)(?=\s?[,\]}])", "null"
-    )
-    return F.coalesce(
-        F.try_parse_json(text), F.try_parse_json(plain), F.from_json(plain, "variant", _NO_LIMITS)
-    )
+    plain = F.when(text.rlike("NaN|Infinity"), _special_numbers_as_null(text)).otherwise(text)
+    return F.coalesce(F.try_parse_json(text), F.from_json(plain, "variant", _NO_LIMITS))
 
 
 def at(value: Column, path: str) -> Column:

@@ -99,6 +99,32 @@ def with_previous(
     )
 
 
+def with_last(
+    rows: DataFrame, keys: list[str], order: str, values: dict[str, str]
+) -> DataFrame:
+    """Add, for each ``new: column``, its last value that is not null up to the row."""
+    filled = {source: F.when(F.col(source).isNotNull(), F.col(order)) for source in values.values()}
+    summary = rows.groupBy(*keys, "chunk").agg(
+        *[F.max_by(source, filled[source]).alias(f"_last_{new}") for new, source in values.items()]
+    )
+    carry = summary.select(
+        *keys,
+        "chunk",
+        *[
+            F.last(f"_last_{new}", ignorenulls=True).over(before_chunk(keys)).alias(f"_carry_{new}")
+            for new in values
+        ],
+    )
+    inside = inside_chunk(keys, order)
+    return rows.join(carry, [*keys, "chunk"]).select(
+        *rows.columns,
+        *[
+            F.coalesce(F.last(source, ignorenulls=True).over(inside), f"_carry_{new}").alias(new)
+            for new, source in values.items()
+        ],
+    )
+
+
 def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of all files but the listed ones.
 

@@ -51,7 +51,7 @@ def day_of(path: Column | None = None) -> Column:
     path = F.col("file_path") if path is None else path
     found = [F.regexp_extract(path, r"/(\d{4})/(\d{1,2})/(\d{1,2})/[^/]*\z", n) for n in (1, 2, 3)]
     day = F.concat_ws("-", found[0], *(F.lpad(part, 2, "0") for part in found[1:]))
-    return F.when(found[0] == "", NO_DAY).otherwise(day).alias("day")
+    return F.when(found[0] != "", day).otherwise(NO_DAY).alias("day")
 
 
 def _context(spark: SparkSession, base: str):

@@ -90,6 +90,27 @@ def totals(summary: DataFrame) -> DataFrame:
     )
 
 
+def event_rollup(grouped: DataFrame) -> DataFrame:
+    """Events by day and file, by day, and of all days, in one aggregation.
+
+    The day is that of the event's timestamp, null where it has none that begins with a
+    date. ``level`` tells the rows apart: file, day or all.
+    """
+    day = F.when(F.col("timestamp").rlike(r"\A\d{4}-\d\d-\d\d"), F.substr("timestamp", F.lit(1), F.lit(10)))
+    rows = valid_events(grouped).select(
+        day.alias("day"), "file_path", "is_anchor", "event_type", "payload_type"
+    )
+    item = F.col("event_type") == "response_item"
+    return rows.rollup("day", "file_path").agg(
+        F.when(F.grouping_id() == 0, "file").when(F.grouping_id() == 1, "day").otherwise("all").alias("level"),
+        F.count("*").alias("events"),
+        F.count_if("is_anchor").alias("prompts"),
+        F.count_if(item & (F.col("payload_type") == "function_call")).alias("calls"),
+        F.count_if(item & (F.col("payload_type") == "function_call_output")).alias("outputs"),
+        F.count_if(F.col("event_type") == "turn_context").alias("contexts"),
+    )
+
+
 def error_preview(errors: DataFrame, shown: int = 3) -> DataFrame:
     """Printed error lines per file: the count, the first few, and how many more.
 

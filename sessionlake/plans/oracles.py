@@ -319,6 +319,23 @@ FROM pairs p LEFT JOIN act c ON c.file_path = p.file_path AND c.seq = p.call_seq
 LEFT JOIN act o ON o.file_path = p.file_path AND o.seq = p.output_seq
 """
 
+ORACLES["calls_in_context"] = f"""
+WITH {_ACT}, contexts AS (SELECT file_path, seq, k FROM act WHERE log_type = 'turn_context')
+SELECT c.file_path, c.prompt_index, c.seq, c.name, c.call_id, x.seq AS context_seq,
+  '/w/' || x.k AS cwd, CASE WHEN x.seq IS NOT NULL THEN 'never' END AS approval_policy,
+  CASE WHEN x.k % 20 = 9 THEN 'read-only' END AS sandbox_mode
+FROM (SELECT * FROM act WHERE {_MEMBERS} AND event_type = 'click' AND name <> 'update_plan') c
+ASOF LEFT JOIN contexts x ON c.file_path = x.file_path AND c.seq >= x.seq
+"""
+ORACLES["event_rollup"] = f"""
+WITH {_ACT} SELECT substr(stamp, 1, 10) AS day, file_path,
+  CASE grouping(substr(stamp, 1, 10), file_path) WHEN 0 THEN 'file' WHEN 1 THEN 'day' ELSE 'all' END AS level,
+  count(*) AS events, count(*) FILTER (event_type = 'signup') AS prompts,
+  count(*) FILTER (event_type = 'click') AS calls, count(*) FILTER (event_type = 'purchase') AS outputs,
+  count(*) FILTER (log_type = 'turn_context') AS contexts
+FROM act GROUP BY ROLLUP (substr(stamp, 1, 10), file_path)
+"""
+
 ORACLES["prompt_template"] = """
 WITH cut AS (
   SELECT doc_id, source, string_split(text, chr(10)) AS lines,

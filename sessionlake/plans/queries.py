@@ -11,6 +11,7 @@ from sessionlake.functions import jsonv, rules, text as texts
 from sessionlake.functions.prompt import parse_prompt
 from sessionlake.functions.strict_json import strict_json
 from sessionlake.operators import (
+    asof,
     calls,
     chunks,
     events,
@@ -447,6 +448,17 @@ def function_calls(spark, sf_dir):
     )
 
 
+@query
+def calls_in_context(spark, sf_dir):
+    """Each tool call with the turn context in force."""
+    return asof.calls_in_context(_activity(spark, sf_dir))
+
+
+@query
+def event_rollup(spark, sf_dir):
+    return summary.event_rollup(_activity(spark, sf_dir))
+
+
 # --- prompt template and rules -----------------------------------------------
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlake.functions import jsonv
 from sessionlake.functions import rules, text
 from sessionlake.functions.prompt import parse_prompt
 from sessionlake.functions.strict_json import scrub, strict_json
@@ -247,3 +248,18 @@ def test_strict_json(spark):
     assert json.loads(cut) == {"u": "é", "n": 1e5}
     kept = apply(spark, lines[:1], lambda c: strict_json(c, clean=False))[0]
     assert json.loads(kept.raw_json) == json.loads(lines[0])
+
+
+def test_special_numbers_are_null_and_strings_stay(spark):
+    texts = [
+        '{"m": "x: NaN, y", "v": NaN, "w": [1, -Infinity, Infinity]}',
+        r'{"a\\": "q\" , NaN \\", "b": NaN}',
+        '{"m": "NaN"}',
+        '{"t": "' + "NaN, " * 50_000 + '", "v": Infinity}',
+    ]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    rows = frame.select("n", F.to_json(jsonv.parse(F.col("t"))).alias("v")).orderBy("n").collect()
+    assert rows[0].v == '{"m":"x: NaN, y","v":null,"w":[1,null,null]}'
+    assert rows[1].v == r'{"a\\":"q\" , NaN \\","b":null}'
+    assert rows[2].v == '{"m":"NaN"}'
+    assert rows[3].v.count("NaN, ") == 50_000 and rows[3].v.endswith('"v":null}')
