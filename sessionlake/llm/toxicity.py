@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sessionlake.llm.shared import share
 from sessionlake.llm.words import slices, utf8
+from sessionlake.session import stage
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -241,8 +242,10 @@ def fit(
         max_documents / 2 / clean
     )
     aside = (F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(FOLDS)) == 0).cast("int").alias("aside")
-    # About max_documents ids at most, whatever the size of the tables.
-    chosen = marks.where(part < limit).select("doc_id", "toxic", aside)
+    chosen = stage(marks.where(part < limit).select("doc_id", "toxic", aside), "sampled_ids")
+    # About max_documents ids by their hashes; were it far more, texts would be shuffled.
+    if chosen.count() <= 2 * max_documents:
+        chosen = F.broadcast(chosen)
     sample = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "aside")
     schema = "feature bigint, " + ", ".join(f"{name} bigint" for name in _COUNTS)
     sums = sample.mapInArrow(_document_counts, schema).groupBy("feature")
