@@ -148,18 +148,29 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     names = stage(names.withColumn("number", F.monotonically_increasing_id()), "numbered")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: list[int] = []
+        words: list[str] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(words, pa.string())], ["number", "word"]
+            )
+
         for batch in batches:
             for name, number in zip(*(batch.column(c).to_pylist() for c in ("name", "number"))):
                 for low in range(0, len(name), PLACES):
-                    words = {
+                    found = {
                         name[start : start + size]
                         for start in range(low, min(low + PLACES, len(name)))
                         for size in range(1, min(LONGEST_WORD, len(name) - start) + 1)
                     }
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(words), pa.int64()), pa.array(list(words), pa.string())],
-                        ["number", "word"],
-                    )
+                    words.extend(found)
+                    numbers.extend([number] * len(found))
+                    if len(words) >= PLACES * LONGEST_WORD:
+                        yield made()
+                        numbers.clear()
+                        words.clear()
+        yield made()
 
     held = names.mapInArrow(parts, "number bigint, word string")
     totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
