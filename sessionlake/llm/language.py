@@ -180,8 +180,11 @@ def predict(documents: DataFrame, model: Model, lang: str, score: str) -> DataFr
     """``documents`` with the predicted language and its score as two more columns, which
     replace columns of their names."""
     shared = share(documents.sparkSession, model)
-    texts = documents.withColumn("__text", F.col("text")).drop(lang, score)
+    # A result named ``text`` replaces the text, which then travels under another name.
+    source = "__text" if "text" in (lang, score) else "text"
+    texts = documents.withColumn(source, F.col("text")).drop(lang, score)
     kept = [field for field in texts.schema.fields if field.name != "__text"]
+    names = [field.name for field in kept]
     schema = T.StructType(
         [
             *kept,
@@ -193,10 +196,10 @@ def predict(documents: DataFrame, model: Model, lang: str, score: str) -> DataFr
     def run(batches):
         model = shared()
         for batch in batches:
-            answers, shares = model.judge(batch.column("__text"))
+            answers, shares = model.judge(batch.column(source))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(answers, pa.string()), pa.array(shares, pa.float64())],
-                [*batch.schema.names[:-1], lang, score],
+                [*(batch.column(name) for name in names), pa.array(answers, pa.string()), pa.array(shares, pa.float64())],
+                [*names, lang, score],
             )
 
     return texts.mapInArrow(run, schema)

@@ -453,7 +453,6 @@ def test_urls_by_naive_bayes(spark):
         }
         return url_filter.viterbi(name, known, total)
 
-    import re
 
     seen, of_page = {}, {}
     for row in rows:
