@@ -1,61 +1,50 @@
-"""Rules applied to the strings inside stored JSON."""
+"""Rules applied to the strings inside stored JSON, by the engine that runs them on columns."""
 
 from __future__ import annotations
 
-import json
-import re
-import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
-from sessionlake.functions.rules import DEFAULT_REPLACEMENT, Rule
+from sessionlake.functions import jsonv
+from sessionlake.functions.rules import Rule, redact
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# A string that cannot be read must not pass unredacted: it raises.
+_STRICT = {**jsonv.NO_LIMITS, "mode": "FAILFAST"}
 
 
-def _steps(rules: Iterable[Rule]) -> list[tuple[str, int, str]]:
-    return [
-        (
-            re.escape(rule.pattern) if rule.type == "literal" else rule.pattern,
-            re.IGNORECASE * rule.ignore_case | re.DOTALL * rule.dotall,
-            rule.replacement or DEFAULT_REPLACEMENT,
-        )
-        for rule in rules
-        if rule.enabled
-    ]
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _unescaped(part: Column) -> Column:
+    listed = F.concat(F.lit('["'), part, F.lit('"]'))
+    read = F.from_json(listed, "array<string>", _STRICT)[0]
+    return F.when(part.contains("\\"), read).otherwise(part)
+
+
+def _escaped(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(3), F.length(listed) - 4)
 
 
 def redact_json(text: Column, rules: Iterable[Rule]) -> Column:
     """The JSON of ``text`` (a value, or the members of a list) with its strings redacted.
 
-    Keys and everything that is not a string stay; so the text stays JSON, which
-    a replacement on the text itself would not ensure.
+    Keys and everything that is not a string stay as written, and so does a string that
+    no rule changes; so the text stays JSON, which a replacement on the text itself would
+    not ensure. Null stays null.
     """
-    steps = _steps(rules)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        compiled = [(re.compile(p, flags), new) for p, flags, new in steps]
-
-        def redacted(value):
-            if isinstance(value, str):
-                for pattern, new in compiled:
-                    value = pattern.sub(lambda _, new=new: new, value)
-            elif isinstance(value, list):
-                value = [redacted(item) for item in value]
-            elif isinstance(value, dict):
-                value = {key: redacted(item) for key, item in value.items()}
-            return value
-
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            done = json.dumps(redacted(json.loads(f"[{text}]")), ensure_ascii=False)
-            return done[1:-1]
-
-        for batch in batches:
-            yield pa.array([one(text) for text in batch.to_pylist()], pa.string())
-
-    return F.arrow_udf(run, "string")(text)
+    enabled = [rule for rule in rules if rule.enabled]
+
+    def redacted(part: Column) -> Column:
+        return _given(
+            _unescaped(part),
+            lambda plain: _given(
+                redact(plain, enabled),
+                lambda done: F.when(done == plain, part).otherwise(_escaped(done)),
+            ),
+        )
+
+    return jsonv.map_strings(text, values=redacted) if enabled else text

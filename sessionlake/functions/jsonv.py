@@ -6,6 +6,8 @@ accessor tests the kind of the value first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # A number above the 64-bit range keeps its digits; smaller decimals were floats.
@@ -13,32 +15,56 @@ _BIG_INTEGER = r"^DECIMAL\((19|[23]\d),0\)$"
 
 
 # The parser's own limits on strings, numbers and depth are far below a variant's.
-_NO_LIMITS = {
+NO_LIMITS = {
     name: str(2**31 - 1) for name in ("maxStringLen", "maxNumLen", "maxNestingDepth")
 }
 
 
-def _special_numbers_as_null(text: Column) -> Column:
-    """NaN and Infinity become null; strings that hold these words stay as they are.
+def map_strings(
+    text: Column,
+    values: Callable[[Column], Column] | None = None,
+    rest: Callable[[Column], Column] | None = None,
+) -> Column:
+    """A JSON text with its string values (escaped as they stand, without quotes) changed by
+    ``values`` and what is outside of strings by ``rest``; keys stay.
 
     Escaped characters are masked first, by control characters that JSON cannot hold, so
-    that every quote left begins or ends a string: odd parts between quotes are strings."""
-    masked = F.replace(text, F.lit("\\\\"), F.lit("\x01\x01"))
-    masked = F.replace(masked, F.lit('\\"'), F.lit("\x01\x02"))
-    parts = F.transform(
-        F.split(masked, '"', -1),
-        lambda part, n: F.when(n % 2 == 1, part).otherwise(
-            F.regexp_replace(part, "NaN|-?Infinity", "null")
-        ),
+    that every quote left begins or ends a string: odd parts between quotes are strings.
+    A quote before a colon gets a mark: at the end of an odd part the mark tells a key.
+    """
+    slash, quote, key = "\x01\x01", "\x01\x02", "\x03"
+
+    def unmasked(part: Column) -> Column:
+        part = F.replace(part, F.lit(quote), F.lit('\\"'))
+        return F.replace(part, F.lit(slash), F.lit("\\\\"))
+
+    def changed(part: Column, n: Column) -> Column:
+        outside = rest(part) if rest else part
+        if values is None:
+            return F.when(n % 2 == 0, outside).otherwise(part)
+        inside = F.when(part.endswith(key), part).otherwise(values(unmasked(part)))
+        return F.when(n % 2 == 0, outside).otherwise(inside)
+
+    masked = F.replace(text, F.lit("\\\\"), F.lit(slash))
+    masked = F.replace(masked, F.lit('\\"'), F.lit(quote))
+    if values is None:
+        return unmasked(F.array_join(F.transform(F.split(masked, '"', -1), changed), '"'))
+    marked = F.regexp_replace(masked, r'"(?=\s*:)', f'{key}"')
+    joined = F.array_join(F.transform(F.split(marked, '"', -1), changed), '"')
+    return unmasked(F.replace(joined, F.lit(key), F.lit("")))
+
+
+def _special_numbers_as_null(text: Column) -> Column:
+    """NaN and Infinity become null; strings that hold these words stay as they are."""
+    return map_strings(
+        text, rest=lambda part: F.regexp_replace(part, "NaN|-?Infinity", "null")
     )
-    joined = F.replace(F.array_join(parts, '"'), F.lit("\x01\x02"), F.lit('\\"'))
-    return F.replace(joined, F.lit("\x01\x01"), F.lit("\\\\"))
 
 
 def parse(text: Column) -> Column:
     """VARIANT of a JSON text; NaN and Infinity, legal in the logs, read as null."""
     plain = F.when(text.rlike("NaN|Infinity"), _special_numbers_as_null(text)).otherwise(text)
-    return F.coalesce(F.try_parse_json(text), F.from_json(plain, "variant", _NO_LIMITS))
+    return F.coalesce(F.try_parse_json(text), F.from_json(plain, "variant", NO_LIMITS))
 
 
 def at(value: Column, path: str) -> Column:

@@ -7,7 +7,7 @@ the texts are the lines of the report.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sessionlake.functions import jsonv
 from sessionlake.functions.text import indent, shorten, strip
@@ -95,9 +95,8 @@ def _response_lines(payload: Column, subtype: Column) -> Column:
     )
 
 
-def describe_event(event: Column) -> Column:
-    """Header and payload lines of an event."""
-    payload = jsonv.at(event, "$.payload")
+def describe_event(event: Column, payload: Column) -> Column:
+    """Header and payload lines of an event (O43b), see ``with_events``."""
     kind = jsonv.string(event, "$.type")
     subtype = jsonv.string(event, "$.payload.type")
     shown = F.when(
@@ -115,11 +114,7 @@ def describe_event(event: Column) -> Column:
         .when(kind == "response_item", _response_lines(payload, subtype))
         .when((kind == "turn_context") | (subtype == "turn_context"), F.array(cwd))
     )
-    none = F.array().cast("array<string>")
-    return F.array_join(
-        F.concat(F.array(header), F.filter(F.coalesce(lines, none), lambda x: x.isNotNull())),
-        "\n",
-    )
+    return F.concat_ws("\n", header, lines)  # missing lines are left out
 
 
 def raw_events(grouped: DataFrame) -> DataFrame:
@@ -127,10 +122,16 @@ def raw_events(grouped: DataFrame) -> DataFrame:
     return grouped.where("NOT blank AND json_error IS NULL")
 
 
+def with_events(rows: DataFrame) -> DataFrame:
+    """Rows with ``_event`` and its ``_payload``, parsed once for all that reads them."""
+    parsed = rows.withColumn("_event", jsonv.parse(F.col("raw_json")))
+    return parsed.withColumn("_payload", jsonv.at(F.col("_event"), "$.payload"))
+
+
 def report_entries(grouped: DataFrame, files: DataFrame) -> DataFrame:
     """Entries of the reports of all files (O43g)."""
     event = F.col("_event")
-    rows = raw_events(grouped).withColumn("_event", jsonv.parse(F.col("raw_json")))
+    rows = with_events(raw_events(grouped))
     key = ["file_path", "prompt_index"]
 
     def fixed(frame: DataFrame, seq: int, part: int, text: str) -> DataFrame:
@@ -165,7 +166,7 @@ def report_entries(grouped: DataFrame, files: DataFrame) -> DataFrame:
         )
         .withColumn("prompt_index", F.lit(0).cast("bigint"))
     )
-    described = describe_event(event)
+    described = describe_event(event, F.col("_payload"))
     events = rows.where(below).select(
         *key,
         "seq",
@@ -243,17 +244,30 @@ def report_texts(entries: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(entries: DataFrame) -> DataFrame:
+    """Range partitioning on the full sort key cuts a huge report over many tasks."""
+    key = ["file_path", "prompt_index", "seq", "part"]
+    return entries.select(*key, "text").repartitionByRange(*key).sortWithinPartitions(*key)
+
+
 def write_report(entries: DataFrame, path: str) -> None:
-    """Write reports as text, one folder per file, lines in order.
+    """Write all reports as text, one after the other; each starts with its file's name.
 
-    Range partitioning on the full sort key cuts a huge report over many tasks.
+    The number of text files hangs on the amount of text, not on the number of sessions.
     """
-    key = ["file_path", "prompt_index", "seq", "part"]
-    (
-        entries.repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .select("file_path", "text")
-        .write.mode("overwrite")
-        .partitionBy("file_path")
-        .text(path)
-    )
+    _in_order(entries).select("text").write.mode("overwrite").text(path)
+
+
+def store_report(entries: DataFrame, path: str) -> None:
+    """Write all reports as sorted Parquet, of which ``read_report`` reads few files."""
+    _in_order(entries).write.mode("overwrite").parquet(path)
+
+
+def read_report(spark: SparkSession, path: str, file_path: str) -> DataFrame:
+    """The lines (text) of one stored report in order; none for a file without report.
+
+    Files are sorted by ``file_path``, so the filter reaches the bounds that Parquet keeps
+    and passes over files of other reports.
+    """
+    of_file = spark.read.parquet(path).where(F.col("file_path") == file_path)
+    return of_file.orderBy("prompt_index", "seq", "part").select("text")

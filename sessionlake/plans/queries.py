@@ -872,8 +872,8 @@ def shortened_texts(spark, sf_dir):
 
 @query
 def event_descriptions(spark, sf_dir):
-    rows = report.raw_events(_activity(spark, sf_dir))
-    described = report.describe_event(jsonv.parse(F.col("raw_json")))
+    rows = report.with_events(report.raw_events(_activity(spark, sf_dir)))
+    described = report.describe_event(F.col("_event"), F.col("_payload"))
     return rows.select("file_path", "seq", described.alias("description"))
 
 

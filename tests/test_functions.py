@@ -1,12 +1,14 @@
 """Column functions on hand-made values."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.functions import jsonv
 from sessionlake.functions import rules, text
+from sessionlake.functions.json_rules import redact_json
 from sessionlake.functions.prompt import parse_prompt
 from sessionlake.functions.strict_json import scrub, strict_json
 
@@ -263,3 +265,47 @@ def test_special_numbers_are_null_and_strings_stay(spark):
     assert rows[1].v == r'{"a\\":"q\" , NaN \\","b":null}'
     assert rows[2].v == '{"m":"NaN"}'
     assert rows[3].v.count("NaN, ") == 50_000 and rows[3].v.endswith('"v":null}')
+
+
+def test_rules_inside_stored_json(spark):
+    import json
+
+    entries = [
+        {"id": "mail", "type": "regex", "pattern": r"\w+@\w+\.\w+", "replacement": 'a "b" \\ c'},
+        {"id": "start", "type": "regex", "pattern": r"^tab\there$", "replacement": "line\nend"},
+        {"id": "punctuation", "type": "literal", "pattern": "::", "replacement": ";"},
+    ]
+    checked = rules.make_rules(spark, entries)
+    values = [
+        {"ann@b.cd": "to ann@b.cd", "": "x", "n": [1, 2.50, None, True, {"k": "tab\there"}]},
+        {": not a key": ":: ann@b.cd", "q": 'say "hi" ann@b.cd', "back": "\\", "two": '\\"'},
+        [":", "::", "::a:: : ", "é ann@b.cd 😀", "\u0001 ann@b.cd", ""],
+        "a" * 2_000 + " ann@b.cd " + '"\\' * 20_000,
+        {"long": ["ann@b.cd, \\"] * 2_000},
+    ]
+
+    def plain(value):
+        if isinstance(value, str):
+            value = re.sub(r"\w+@\w+\.\w+", lambda _: 'a "b" \\ c', value)
+            value = re.sub(r"^tab\there$", "line\nend", value)
+            return value.replace("::", ";")
+        if isinstance(value, list):
+            return [plain(item) for item in value]
+        if isinstance(value, dict):
+            return {key: plain(item) for key, item in value.items()}
+        return value
+
+    lines = [json.dumps(value, ensure_ascii=False) for value in values]
+    more = ['{"n": 1e400, "m": -0.0, "o" :  NaN, "p": 12345678901234567890123}', "", None, '"a", "ann@b.cd"']
+    got = apply(spark, lines + more, lambda c: F.struct(redact_json(c, checked).alias("v")))
+    assert [json.loads(row.v) for row in got[: len(values)]] == [plain(v) for v in values]
+    assert [row.v for row in got[len(values) :]] == [
+        more[0], "", None, r'"a", "a \"b\" \\ c"'
+    ]
+    plan = spark.range(1).select(redact_json(F.lit("[1]"), checked))
+    assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_json_string_that_cannot_be_read_raises(spark):
+    with pytest.raises(Exception, match="MALFORMED|malformed|JSON"):
+        apply(spark, [r'["\q a@b.cd"]'], lambda c: F.struct(redact_json(c, rules.DEFAULT_RULES).alias("v")))

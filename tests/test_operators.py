@@ -381,6 +381,21 @@ def test_report_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() > 3
 
 
+def test_stored_reports(spark, tmp_path):
+    grouped = log(spark, {name: [PROMPT, PROMPT] for name in "fgh"}, clean=False)
+    entries = report.report_entries(grouped, files(spark, *"fgh", "empty"))
+    path = str(tmp_path / "stored")
+    report.store_report(entries, path)
+    whole = {row.file_path: row.text for row in report.report_texts(entries).where("part = 0").collect()}
+    for name in "fgh":
+        lines = [row.text for row in report.read_report(spark, path, name).collect()]
+        assert "\n".join(lines) == whole[name]
+    assert report.read_report(spark, path, "empty").count() == 2
+    assert report.read_report(spark, path, "missing").count() == 0
+    plan = report.read_report(spark, path, "f")._jdf.queryExecution().toString()
+    assert "EqualTo(file_path,f)" in plan
+
+
 # --- strict model ----------------------------------------------------------------------
 
 
