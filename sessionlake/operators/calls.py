@@ -144,8 +144,12 @@ def match_calls(grouped: DataFrame) -> DataFrame:
     return pair_rows(waiting_line(with_id_match(call_steps(grouped))))
 
 
-def pair_rows(line: DataFrame) -> DataFrame:
-    """A call and its output share one key, so a plain aggregate pairs them."""
+def pair_rows(line: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """A call and its output share one key, so a plain aggregate pairs them.
+
+    ``more`` are further aggregates over the steps of a row.
+    """
+    more = more or {}
     queued = F.coalesce("enter_no", "take_no")
     opens = F.col("is_call") | F.col("is_stub")
     pairs = (
@@ -159,9 +163,10 @@ def pair_rows(line: DataFrame) -> DataFrame:
             F.max(F.when(opens, F.col("seq"))).alias("row_seq"),
             F.max(F.when(F.col("is_call"), F.col("seq"))).alias("call_seq"),
             F.max(F.when(~F.col("is_call"), F.col("seq"))).alias("output_seq"),
+            *[value.alias(name) for name, value in more.items()],
         )
     )
-    return pairs.select(*_PROMPT, "row_seq", "call_seq", "output_seq")
+    return pairs.select(*_PROMPT, "row_seq", "call_seq", "output_seq", *more)
 
 
 def function_calls(grouped: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _context(spark: SparkSession, base: str):
     return path.getFileSystem(conf), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
     system, path = _context(spark, folder)
     if not system.exists(path(folder)):
@@ -70,7 +70,7 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 def newest(spark: SparkSession, base: str) -> Record:
     """The record that readers follow."""
-    names = [n for n in _names(spark, f"{base}/{_COMMITS}") if n.endswith(".json") and n[0].isdigit()]
+    names = [n for n in folder_names(spark, f"{base}/{_COMMITS}") if n.endswith(".json") and n[0].isdigit()]
     if not names:
         return Record()
     system, path = _context(spark, base)
@@ -119,7 +119,7 @@ def write_rows(frame: DataFrame, base: str, table: str, version: str) -> list[st
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table).fields]
     rows = frame.select(*columns).withColumn("day", day_of())
     rows.hint("rebalance", "day").write.partitionBy("day").parquet(folder)
-    days = (name.removeprefix("day=") for name in _names(frame.sparkSession, folder) if name.startswith("day="))
+    days = (name.removeprefix("day=") for name in folder_names(frame.sparkSession, folder) if name.startswith("day="))
     return sorted(days)
 
 
@@ -174,13 +174,13 @@ def vacuum(spark: SparkSession, base: str) -> int:
     """
     record, removed = newest(spark, base), 0
     system, path = _context(spark, base)
-    for table in _names(spark, base):
+    for table in folder_names(spark, base):
         needed = set(record.folders(table))
-        for name in _names(spark, f"{base}/{table}") if table != _COMMITS else ():
+        for name in folder_names(spark, f"{base}/{table}") if table != _COMMITS else ():
             version = name.removeprefix("version=")
             if version == name or int(version.split("-")[0]) > record.number:
                 continue
-            for day in _names(spark, f"{base}/{table}/{name}"):
+            for day in folder_names(spark, f"{base}/{table}/{name}"):
                 if day.startswith("day=") and f"{version}/{day.removeprefix('day=')}" not in needed:
                     system.delete(path(f"{base}/{table}/{name}/{day}"), True)
                     removed += 1

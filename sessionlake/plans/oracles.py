@@ -319,6 +319,10 @@ FROM pairs p LEFT JOIN act c ON c.file_path = p.file_path AND c.seq = p.call_seq
 LEFT JOIN act o ON o.file_path = p.file_path AND o.seq = p.output_seq
 """
 
+ORACLES["growing_calls"] = f"""
+WITH RECURSIVE {_CALLS}, {_PAIRS}
+SELECT file_path, prompt_index, seq AS row_seq, call_seq, output_seq FROM pairs
+"""
 ORACLES["calls_in_context"] = f"""
 WITH {_ACT}, contexts AS (SELECT file_path, seq, k FROM act WHERE log_type = 'turn_context')
 SELECT c.file_path, c.prompt_index, c.seq, c.name, c.call_id, x.seq AS context_seq,

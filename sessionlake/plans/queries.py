@@ -25,8 +25,9 @@ from sessionlake.operators import (
     tables,
 )
 from sessionlake.plans import ingest
-from sessionlake.session import stage, staging_root
+from sessionlake.session import stage, staging_folder, staging_root
 from sessionlake.sources import adapters, discovery, jsonl
+from sessionlake.streaming import growing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -448,6 +449,31 @@ def function_calls(spark, sf_dir):
     )
 
 
+@query
+def growing_calls(spark, sf_dir):
+    """Calls matched while the logs grow: three batches, with late and repeated lines."""
+    grouped = _activity(spark, sf_dir)
+    last = F.lit(_table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0)
+    part = F.floor(F.col("pos") * 3 / (last + 1))
+    late = F.least(part + (F.col("pos") % 10 == 0).cast("int"), F.lit(2))
+    parts = F.when(F.col("pos") % 25 == 1, F.array(late, F.lit(2))).otherwise(F.array(late))
+    sent = stage(
+        grouped.select(
+            "file_path",
+            (F.col("seq") - 1).alias("pos"),
+            F.col("raw_json").alias("line"),
+            F.explode(parts).alias("part"),
+        ),
+        "sent",
+    )
+    folder = staging_folder(spark)
+    for number in range(3):
+        sent.where(F.col("part") == number).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(sent.drop("part").schema).parquet(f"{folder}/in")
+        growing.follow_lines(stream, f"{folder}/out", f"{folder}/marks", once=True).awaitTermination()
+    return growing.matched_calls(spark, f"{folder}/out")
+
+
 @query
 def calls_in_context(spark, sf_dir):
     """Each tool call with the turn context in force."""
