@@ -12,6 +12,8 @@ from sessionlake.operators.events import prelude
 ENVIRONMENT = "<environment_context>"
 # Size of the parts in which a document is put together.
 PART_BYTES = 8 * 1024 * 1024
+# Parts of a document that one cell of the stored sessions holds (128 MiB of text).
+CELL_PARTS = 16
 
 
 def environment_texts(event: Column) -> Column:
@@ -133,19 +135,42 @@ def prelude_parts(grouped: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame
     )
 
 
+def document_pieces(parts: DataFrame) -> DataFrame:
+    """Session documents in pieces (file_path, part, text), whatever their size.
+
+    The texts of a file, in the order of ``part``, join to its whole document; no task
+    holds more than a piece. Files without a prelude have no piece.
+    """
+    counted = parts.groupBy("file_path").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    begin = F.when(F.col("part") == F.col("_first"), '{"events": [').otherwise(", ")
+    end = F.when(F.col("part") == F.col("_last"), "]}").otherwise("")
+    return parts.join(counted, "file_path").select(
+        "file_path", "part", F.concat(begin, F.col("events_json"), end).alias("text")
+    )
+
+
 def sessions(
-    grouped: DataFrame, files: DataFrame, parts: DataFrame | None = None
+    grouped: DataFrame,
+    files: DataFrame,
+    parts: DataFrame | None = None,
+    cell_parts: int | None = None,
 ) -> DataFrame:
     """One row per file, also where the prelude is empty.
 
-    ``raw_json`` is put together from the parts of the prelude, however many.
+    ``raw_json`` is put together from the parts of the prelude, however many. With
+    ``cell_parts`` it is null for documents of more parts, and no task collects them;
+    ``document_pieces`` gives them whole.
     """
     parts = prelude_parts(grouped) if parts is None else parts
+    within = F.lit(True) if cell_parts is None else F.col("part") < cell_parts
     documents = parts.groupBy("file_path").agg(
         F.count("*").alias("n_parts"),
-        F.array_sort(F.collect_list(F.struct("part", "events_json"))).alias("_parts"),
+        F.array_sort(
+            F.collect_list(F.when(within, F.struct("part", "events_json")))
+        ).alias("_parts"),
     )
     n_parts = F.coalesce("n_parts", F.lit(0))
+    whole = F.lit(True) if cell_parts is None else n_parts <= cell_parts
     document = F.concat(
         F.lit('{"events": ['),
         F.coalesce(F.array_join(F.col("_parts.events_json"), ", "), F.lit("")),
@@ -163,7 +188,7 @@ def sessions(
             "approval_policy",
             "sandbox_mode",
             "network_access",
-            document.alias("raw_json"),
+            F.when(whole, document).alias("raw_json"),
             n_parts.alias("prelude_parts"),
         )
     )

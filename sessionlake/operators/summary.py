@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sessionlake.operators import chunks
 from sessionlake.operators.events import valid_events
 
 COUNTS = [
@@ -67,18 +68,43 @@ def summaries(
     )
 
 
-def with_error_lists(summary: DataFrame, errors: DataFrame) -> DataFrame:
-    """Add ``error_list``, the error records of each file in order."""
-    fields = ["line_number", "severity", "code", "message", "recommended_action", "context"]
-    lists = errors.groupBy("file_path").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("error_list")
-    )
+_RECORD = ["line_number", "severity", "code", "message", "recommended_action", "context"]
+# Errors of a file that one cell holds; more are read in parts.
+CELL_ERRORS = 100_000
+
+
+def _records() -> Column:
+    return F.array_sort(F.collect_list(F.struct(*_RECORD))).alias("error_list")
+
+
+def with_error_lists(
+    summary: DataFrame, errors: DataFrame, cell_errors: int | None = None
+) -> DataFrame:
+    """Add ``error_list``, the error records of each file in order.
+
+    With ``cell_errors`` it is null for files that have more errors than that, and no task
+    collects them; ``error_parts`` gives them all.
+    """
+    if cell_errors is not None:
+        errors = chunks.without_files(errors, summary.where(F.col("errors") > cell_errors))
+    lists = errors.groupBy("file_path").agg(_records())
     none = F.array().cast(lists.schema["error_list"].dataType)
+    held = F.lit(True) if cell_errors is None else F.col("errors") <= cell_errors
     return summary.join(lists, "file_path", "left").withColumn(
-        "error_list", F.coalesce("error_list", none)
+        "error_list", F.when(held, F.coalesce("error_list", none))
     )
 
 
+def error_parts(errors: DataFrame, part_errors: int = 1000) -> DataFrame:
+    """All error records of each file, in parts of ``part_errors``.
+
+    Parts count from 0; one after the other they are the whole list in order. A file
+    without errors has none. Rows need ``chunk``, as the stored errors have it.
+    """
+    placed = chunks.in_parts(errors, ["file_path"], "line_number", F.lit(1), part_errors)
+    return placed.groupBy("file_path", "part").agg(_records())
+
+
 def totals(summary: DataFrame) -> DataFrame:
     """Sums over all files with the number of files."""
     return summary.agg(

@@ -99,7 +99,7 @@ def build(
     parts = sessions.prelude_parts(grouped)
     built = {
         "files": kept.select("file_path", F.current_timestamp().alias("ingested_at")),
-        "sessions": sessions.sessions(grouped, kept, parts),
+        "sessions": sessions.sessions(grouped, kept, parts, sessions.CELL_PARTS),
         "prompts": extract.prompts(grouped),
         "token_messages": extract.token_messages(grouped),
         "turn_context_messages": extract.turn_context_messages(grouped),
@@ -111,7 +111,9 @@ def build(
         "ingest_errors": errors,
     }
     counted = summary.with_error_lists(
-        summary.summaries(grouped, calls.match_calls(grouped), kept, errors), errors
+        summary.summaries(grouped, calls.match_calls(grouped), kept, errors),
+        errors,
+        summary.CELL_ERRORS,
     )
     redacted: list[rule_pass.Redacted] = []
     if rules:
@@ -129,7 +131,9 @@ def build(
                 {c: redact_json(F.col(c), everywhere) for c in columns}
             )
         if everywhere:
-            built["sessions"] = sessions.sessions(grouped, kept, built["prelude_parts"])
+            built["sessions"] = sessions.sessions(
+                grouped, kept, built["prelude_parts"], sessions.CELL_PARTS
+            )
     if manual is not None:
         text = rule_pass.USER_TEXT["prompts"]
         built["prompts"] = redactions.apply_manual(built["prompts"], manual, text)

@@ -544,6 +544,14 @@ WITH {_FLAWED} SELECT file_path, count(*) FILTER (event_error IS NOT NULL) AS er
     FILTER (event_error IS NOT NULL), '') AS lines
 FROM flawed GROUP BY file_path
 """
+ORACLES["summary_error_parts"] = f"""
+WITH {_FLAWED}, wrong AS (
+  SELECT file_path, event_index,
+    (row_number() OVER (PARTITION BY file_path ORDER BY event_index) - 1) // 10 AS part
+  FROM flawed WHERE event_error IS NOT NULL)
+SELECT file_path, part, string_agg(CAST(event_index AS VARCHAR), ',' ORDER BY event_index) AS lines
+FROM wrong GROUP BY file_path, part
+"""
 _ALL = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"

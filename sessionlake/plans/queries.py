@@ -811,6 +811,14 @@ def summary_error_lists(spark, sf_dir):
     )
 
 
+@query
+def summary_error_parts(spark, sf_dir):
+    """The errors of each file in parts of ten."""
+    parts = summary.error_parts(events.ingest_errors(_once(_flawed_log(spark, sf_dir))), 10)
+    numbers = F.col("error_list.line_number").cast("array<string>")
+    return parts.select("file_path", "part", F.array_join(numbers, ",").alias("lines"))
+
+
 @query
 def table_counts(spark, sf_dir):
     return tables.table_counts({t: _table(spark, sf_dir, t) for t in DRIVER_TABLES})
