@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sessionlake.llm.shared import share
-from sessionlake.llm.tokens import END, Encoder, vocabulary_path
+from sessionlake.llm.tokens import END, MOST_CHARS, Encoder, vocabulary_path
 from sessionlake.llm.words import slices, utf8
 from sessionlake.session import stage
 
@@ -59,7 +59,7 @@ def pieces(documents: DataFrame, path: str, capacity: int) -> DataFrame:
         encoder, seen = Encoder(path, state.value), np.zeros(capacity + 1, dtype=np.int64)
         end = END.to_bytes(4, "little")
         for batch in batches:
-            for low, high in slices(utf8(batch.column("text"))[1]):
+            for low, high in slices(utf8(batch.column("text"))[1], MOST_CHARS):
                 part = batch.slice(low, high - low)
                 columns = part.column("doc_id").to_pylist(), part.column("task").to_pylist()
                 ids = encoder.encode(part.column("text").to_pylist())

@@ -206,6 +206,39 @@ def test_pieces_equal_the_library(library):
         assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_parts_of_every_character_equal_the_library(library):
+    import re
+
+    chars = [c for c in map(chr, range(0x10000)) if re.match(f"[{tokens.SCRIPTS}]", c)]
+    texts = [f"a{c}1 {c}{c}'s{c}'ll !'re{c}  {c}\n{c}'x{c} " for c in chars] + ["'", "a'", "'l", "'s'd've ' s"]
+    found = tokens.Encoder(tokens.vocabulary_path()).encode(texts)
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [w.ids for w in want]
+
+
+def test_each_part_is_encoded_once(library, monkeypatch):
+    given = []
+    encode = tokens.tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(
+        tokens.tiktoken.Encoding, "encode_ordinary", lambda self, text: given.append(text) or encode(self, text)
+    )
+    texts = ["the cat's sat on the été. \n" * 500, "the cat's sat", "", None, " the été\n\n"] * 3
+    found = tokens.Encoder(tokens.vocabulary_path()).encode(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [
+        library.encode(t or "", add_special_tokens=False).ids for t in texts
+    ]
+    assert sum(map(len, given)) < 100
+
+
+def test_long_texts_in_windows(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_CHARS", 50)
+    texts = ["It's a  dog \n 12 b. c D e f " * 40, "x" * 300, "one two", " y z" * 60, "a\u00e9 " * 99]
+    found = tokens.Encoder(tokens.vocabulary_path()).encode(texts)
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [w.ids for w in want]
+    assert len(list(tokens.windows(texts[0], 50))) > 10
+
+
 def test_ranks_only_of_byte_level_vocabularies():
     import json
 
@@ -338,6 +371,26 @@ def test_coder_round_trip(block):
     assert repeated < 0.3 * 2 * 10_000
 
 
+def test_coder_of_unlikely_ids():
+    """After runs that make them unlikely, ids narrow the range as far as they can."""
+    rng = np.random.default_rng(5)
+    for extra in range(64):
+        teach = [0xC000 + rng.integers(0, 0x1FFF, 80), 0x8000 + rng.integers(0, 0x3FFF, 80), rng.integers(0, 0x7FFF, 80)]
+        again = np.full(200 + extra, 5)
+        ids = np.concatenate([*teach, again, [0xFFFF - extra], again, [0xE000]])
+        assert mixing_coder.decode(mixing_coder.encode(ids)).tolist() == ids.tolist()
+
+
+def test_coder_in_groups_of_blocks(monkeypatch):
+    ids = np.random.default_rng(6).geometric(0.01, 1000) % 65536
+    whole = mixing_coder.encode(ids, 64)
+    monkeypatch.setattr(mixing_coder, "LANES", 3)
+    assert mixing_coder.encode(ids, 64) == whole
+    assert mixing_coder.decode(whole[::-1][:5]).tolist() == np.concatenate(
+        [ids[at * 64 : at * 64 + 64] for at in (15, 14, 13, 12, 11)]
+    ).tolist()
+
+
 def test_coder_refuses_damage_and_large_ids():
     n, crc, coded = mixing_coder.encode(np.arange(300))[0]
     with pytest.raises(ValueError, match="checksum"):
