@@ -43,7 +43,7 @@ def library():
 def test_query_equals_sql(spark, name, sf):
     sf_dir = f"/root/testdata/sf{sf}"
     duck = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     frame = queries.QUERIES[name](spark, sf_dir)
     cursor = duck.execute(queries.ORACLES[name])
